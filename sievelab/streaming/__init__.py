@@ -1,0 +1,4 @@
+"""No operator of this library is a stream: the work it covers is batch only.
+
+The package is kept so that the layout is complete; see README, "Not built".
+"""
