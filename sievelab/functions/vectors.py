@@ -19,10 +19,15 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(array_sum(F.transform(v, lambda x: x * x)))
 
 
+def scale_by(v: Column | str, divisor: Column) -> Column:
+    """Each element over ``divisor``, which is evaluated once per row and not once per element."""
+    return F.zip_with(v, F.array_repeat(divisor, F.size(v)), lambda x, d: x / d)
+
+
 def l2_normalize(v: Column | str) -> Column:
     """Unit row; a zero row stays zero."""
     length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+    return scale_by(v, F.when(length > 0, length).otherwise(F.lit(1.0)))
 
 
 def squared_distance(a: Column | str, b: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("data", "noise", "summaries")
+MODULES = ("data", "noise", "summaries", "text", "evaluation")
 
 
 def all_queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sievelab.functions.hashing import hash_int
-from sievelab.functions.vectors import array_sum, class_means, distances_to
+from sievelab.functions.vectors import array_sum, class_means, distances_to, scale_by
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -97,8 +97,8 @@ def probabilities(spark: SparkSession, sf: str) -> DataFrame:
     rows = noisy_vectors(spark, sf)
     means = class_means(rows)
     weights = F.transform(distances_to(list(means.values())), lambda d: F.exp(-8 * d))
-    return rows.withColumn("ws", weights).withColumn("total", array_sum("ws")).select(
-        "row_id", "sentiment", "origin", "noise", F.transform("ws", lambda w: w / F.col("total")).alias("probs")
+    return rows.withColumn("ws", weights).select(
+        "row_id", "sentiment", "origin", "noise", scale_by("ws", array_sum("ws")).alias("probs")
     )
 
 
