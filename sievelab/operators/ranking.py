@@ -53,27 +53,29 @@ def hash_rank(
     return ranked.select(*df.columns, rank_col)
 
 
-def ordered_rank(df: DataFrame, order: Sequence[str], rank_col: str = "rank") -> DataFrame:
+def ordered_rank(
+    df: DataFrame, order: Sequence[str], rank_col: str = "rank", by: Sequence[str] = ()
+) -> DataFrame:
     """1-based rank in the order of the given columns, which must identify a row.
 
     Rows are range-partitioned and sorted, the positions written once, and one offset per partition
-    added. The written copy fixes the partition bounds, so both uses of it agree.
+    added. The written copy fixes the partition bounds, so both uses of it agree. With ``by`` (columns
+    of few values) the rank starts anew in each group.
     """
+    by = list(by)
     placed = cut_lineage(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn(
             "__pos", F.monotonically_increasing_id()
         )
     ).withColumn("__part", F.shiftright("__pos", 33))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("__part")
+        placed.groupBy(*by, "__part")
         .agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__start"))
-        .select(
-            "__part", "__start", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
-        )
+        .select(*by, "__part", "__start", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     )
     return (
-        placed.join(F.broadcast(offsets), "__part")
+        placed.join(F.broadcast(offsets), [*by, "__part"])
         .withColumn(rank_col, F.col("__pos") - F.col("__start") + F.col("__offset") + 1)
         .select(*df.columns, rank_col)
     )

@@ -19,9 +19,26 @@ def distribution(df: DataFrame, column: str, labels: Sequence[int], by: Sequence
     return grouped.selectExpr(*by, f"stack({len(labels)}, {stack}) as ({column}, share)")
 
 
+def _one_decimal(value: Column) -> Column:
+    """Non-negative number with one decimal, rounded on its exact binary value, ties to even.
+
+    ``format_string`` rounds the shortest decimal form half up, which differs on ties. The error of the
+    product by ten is found from the two halves of the number, both of which ten multiplies exactly.
+    """
+    scaled = value * 10
+    low = F.floor(scaled)
+    rest = scaled - low
+    split = value * 134217729.0
+    high = split - (split - value)
+    error = (high * 10 - scaled) + (value - high) * 10
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (low % 2 == 1))))
+    tenths = low + up.cast("bigint")
+    return F.format_string("%d.%d", F.floor(tenths / 10), tenths % 10)
+
+
 def percent_string(shares: Sequence[Column]) -> Column:
-    """``[9.1%, 17.6%]``: one decimal, half away from zero on the exact binary value's decimal form."""
-    parts = [F.format_string("%.1f%%", s * 100) for s in shares]
+    """``[9.1%, 17.6%]``"""
+    parts = [F.concat(_one_decimal(s * 100), F.lit("%")) for s in shares]
     return F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]"))
 
 

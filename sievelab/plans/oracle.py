@@ -162,7 +162,7 @@ VIEWS: dict[str, tuple[str, str]] = {
             GROUP BY 1, 2, 3) GROUP BY 1, 2"""),
     "history": ("", """
         SELECT event_type AS run,
-               ((epoch(date_trunc('second', ts)) - epoch(date_trunc('second', t0)))::BIGINT // 3600)::INT AS epoch,
+               date_sub('hour', t0, ts)::INT AS epoch,
                min(value) AS loss, max(value) AS accuracy, round(stddev_pop(value), 6) AS val_loss,
                round(avg(value), 6) AS val_accuracy
         FROM events JOIN (SELECT event_type, min(ts) AS t0 FROM events GROUP BY 1) USING (event_type) GROUP BY 1, 2"""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("data", "noise", "summaries", "text", "evaluation")
+MODULES = ("data", "noise", "summaries", "text", "evaluation", "detection")
 
 
 def all_queries() -> dict:

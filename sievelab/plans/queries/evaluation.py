@@ -13,7 +13,6 @@ from sievelab.plans.oracle import sql
 
 LABELS = list(range(10))
 SCORES = ["micro_f1", "macro_f1", "weighted_f1", "macro_precision", "macro_recall"]
-PLANTED = F.col("row_id") % 25 == 0
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
@@ -70,12 +69,16 @@ def q_evaluation_wide(spark, sf):
     return _round(mt.evaluation_wide(counts, "all vectors", 10), *SCORES)
 
 
+def _planted():
+    return F.col("row_id") % 25 == 0
+
+
 def _cells(spark, sf):
     """Predictions of each language, all rows (N) and without the planted rows (Y), as two ladders of four."""
     docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "lang")
     rows = views.predictions(spark, sf).join(docs, "row_id")
     position = F.expr("CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END")
-    flags = F.when(PLANTED, F.array(F.lit("N"))).otherwise(F.array(F.lit("N"), F.lit("Y")))
+    flags = F.when(_planted(), F.array(F.lit("N"))).otherwise(F.array(F.lit("N"), F.lit("Y")))
     rows = rows.withColumn("position", position).withColumn("denoised", F.explode(flags))
     return rows.withColumn("cell", F.concat("lang", F.lit("-"), "denoised"))
 
@@ -85,7 +88,7 @@ def ledger(spark, sf) -> DataFrame:
     scores = mt.micro_macro_weighted(mt.label_counts(rows, LABELS, ["cell"]), ["cell"])
     shares = distribution_string(rows, "y_true", [0, 1, 2, 3], ["cell"])
     cells = rows.groupBy("cell", "position", "denoised").agg(
-        F.sum((~PLANTED).cast("bigint")).alias("origin"), F.sum(PLANTED.cast("bigint")).alias("noise")
+        F.sum((~_planted()).cast("bigint")).alias("origin"), F.sum(_planted().cast("bigint")).alias("noise")
     )
     cells = cells.join(shares.withColumnRenamed("distribution", "sentiments_distribution"), "cell")
     return lg.ledger_rows(scores, cells.withColumn("noise_sources_distribution", F.lit("-")), sizes=4)

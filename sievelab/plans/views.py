@@ -106,10 +106,10 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     """(run, epoch, loss, accuracy, val_loss, val_accuracy) with one epoch per hour of events."""
     events = table(spark, sf, "events").select("ts", "event_type", "value")
     first = events.groupBy("event_type").agg(F.min("ts").alias("t0"))
-    hours = F.expr("(unix_seconds(ts) - unix_seconds(t0)) div 3600")
+    hours = F.expr("CAST(CAST(ts - t0 AS INTERVAL HOUR) AS INT)")
     return (
         events.join(F.broadcast(first), "event_type")
-        .groupBy(F.col("event_type").alias("run"), hours.cast("int").alias("epoch"))
+        .groupBy(F.col("event_type").alias("run"), hours.alias("epoch"))
         .agg(
             F.min("value").alias("loss"),
             F.max("value").alias("accuracy"),
