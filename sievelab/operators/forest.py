@@ -50,8 +50,8 @@ def _grow(x: np.ndarray, columns: np.ndarray, rng: np.random.Generator, depth: i
 
 
 def build_trees(df: DataFrame, trees: int, sample: int = 256, features: int = 3, seed: int = 1) -> DataFrame:
-    """One row per tree. Sample positions are drawn on the executors and joined to the ranked rows, so
-    trees x ``sample`` rows move, whatever the table size, and a task grows one tree from its sample."""
+    """One row per tree. Only ids are ranked; sample positions are drawn on the executors and joined to
+    them, so vectors move for trees x ``sample`` rows whatever the table size, and a task grows one tree."""
     spark = df.sparkSession
     total, width = df.count(), feature_width(df)
     take, used = min(sample, total), min(features, width)
@@ -72,8 +72,8 @@ def build_trees(df: DataFrame, trees: int, sample: int = 256, features: int = 3,
         return pd.DataFrame({"tree": [tree], **{name: [v] for name, v in nodes.items()}})
 
     draws = spark.range(trees).mapInPandas(draw, "tree int, place bigint, columns array<int>")
-    ranked = hash_rank(df.select("row_id", "features"), ["row_id"], seed, rank_col="place")
-    picked = draws.join(ranked, "place").select(
+    places = hash_rank(df.select("row_id"), ["row_id"], seed, rank_col="place")
+    picked = draws.join(places, "place").join(df.select("row_id", "features"), "row_id").select(
         "tree", "place", "columns", F.transform("columns", lambda c: F.get("features", c)).alias("x")
     )
     return picked.groupBy("tree").applyInPandas(grow, _TREE)
