@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF, CountVectorizer, ElementwiseProduct, Normalizer, StopWordsRemover, Word2Vec, Word2VecModel,
 )
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievelab.functions.text import TOPIC_STOP_WORDS, ngrams, normalize_text, tokenize_stoplist, tokenize_words
@@ -179,3 +179,18 @@ def fit_tfidf_pipeline(
     scale = ElementwiseProduct(scalingVec=scaling, inputCol="__tf", outputCol="__w")
     unit = Normalizer(p=2.0, inputCol="__w", outputCol="features")
     return PipelineModel(stages=[counted.stages[0], scale, unit])
+
+
+def sparse_id_rows(weights: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(row_id, term_ids, weights) from the long form, ids in ascending order."""
+    coded = lookup_join(weights, dictionary, "term", F.col("row_id"))
+    pairs = F.array_sort(F.collect_list(F.struct("term_id", "weight")))
+    return coded.groupBy("row_id").agg(pairs.alias("p")).select(
+        "row_id", F.col("p.term_id").alias("term_ids"), F.col("p.weight").alias("weights")
+    )
+
+
+def sparse_vectors(rows: DataFrame, width: int, features: str = "features") -> DataFrame:
+    """ML vectors from ``term_ids`` and ``weights``."""
+    build = F.udf(lambda ids, weights: Vectors.sparse(width, ids, weights), VectorUDT())
+    return rows.withColumn(features, build("term_ids", "weights"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from sievelab.operators import cleaning, noise, sampling
+from sievelab.operators.features import normalized_text
 from sievelab.session import cut_lineage
 
 SEED = 522
@@ -20,6 +22,10 @@ def clean_messages(messages: DataFrame) -> DataFrame:
     return cleaning.dedup_first(rows, ["tweetid"], "row_id")
 
 
+def _normalize(rows: DataFrame) -> DataFrame:
+    return normalized_text(rows).withColumn("message", F.col("normalized")).drop("normalized")
+
+
 class Corpus:
     """Regions and noise of one labelled message table.
 
@@ -67,20 +73,25 @@ class Corpus:
         rows = self.subset("noise", size).drop("noise", "noise_text")
         return noise.inject_mislabel(rows, self.seed, self.k).select(*noise.POOL_COLUMNS)
 
-    def add_unlabelled(self, source: str, rows: DataFrame, shares: Sequence[float] | None = None, size=None):
-        """Add a source without labels; labels follow ``shares`` or the corpus' own."""
+    def add_unlabelled(
+        self, source: str, rows: DataFrame, shares: Sequence[float] | None = None, size=None, alone: bool = False
+    ):
+        """Add a source without labels; labels follow ``shares`` or the corpus' own.
+
+        With ``alone`` the source replaces the pool instead of joining it.
+        """
         labelled = noise.label_unlabelled_pool(rows, self.plan.shares if shares is None else shares)
-        self._add(noise.clean_noise_pool(labelled, source, self.seed, size))
+        self._add(noise.clean_noise_pool(labelled, source, self.seed, size), alone)
 
-    def add_labelled(self, source: str, rows: DataFrame, ratio: float = 0.0, size=None):
+    def add_labelled(self, source: str, rows: DataFrame, ratio: float = 0.0, size=None, alone: bool = False):
         """Add a source with raw labels and ids, of which the share ``ratio`` gets wrong labels."""
         shifted = cleaning.recode_label(rows)
         corrupted = noise.mislabel_ratio_pool(shifted, ratio, self.seed, self.k)
         outside = noise.exclude_test_overlap(corrupted, self.test(), self.seed)
-        self._add(noise.clean_noise_pool(outside, source, self.seed, size))
+        self._add(noise.clean_noise_pool(outside, source, self.seed, size), alone)
 
-    def _add(self, part: DataFrame) -> None:
-        self._pool = noise.union_noise_pool(self.pool.drop("noise"), part)
+    def _add(self, part: DataFrame, alone: bool) -> None:
+        self._pool = noise.union_noise_pool(*([] if alone else [self.pool.drop("noise")]), part)
 
     @property
     def pool(self) -> DataFrame:
@@ -99,6 +110,14 @@ class Corpus:
     def noisy_train(self, original: int | None, noisy: int, shares=None) -> DataFrame:
         return noise.mix_noisy_train(self.train(original, shares), self.pool, noisy, self.seed)
 
+    def normalized(self) -> Corpus:
+        """The same corpus with normalised, stemmed text in ``message``, made and written once, so that
+        no experiment repeats it. Splits and noise follow ids and stay the same."""
+        other = copy.copy(self)
+        other._regions = cut_lineage(_normalize(self.regions))
+        other._pool = cut_lineage(_normalize(self.pool))
+        return other
+
     def labels(self) -> list[int]:
         return list(range(self.k))
 

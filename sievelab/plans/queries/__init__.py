@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("data", "noise", "summaries", "text", "evaluation", "detection", "latent", "models")
+MODULES = ("data", "noise", "summaries", "text", "evaluation", "detection", "latent", "models", "experiments")
 
 
 def all_queries() -> dict:
