@@ -163,18 +163,21 @@ def train_word2vec(
 
 
 def fit_tfidf_pipeline(
-    train: DataFrame, terms: str = "terms", vocabulary: int = 1 << 18, min_df: float = 1.0, max_df: float = 1.0
+    train: DataFrame, terms: str = "terms", vocabulary: int = 1 << 24, min_df: float = 1.0,
+    max_df: float | None = None,
 ) -> PipelineModel:
     """ML form of ``tfidf``: counts, idf + 1 as a scaling vector, unit length; adds ``features``.
 
-    Spark's IDF is ln((n+1)/(df+1)); the 1 that the smooth form adds goes into the scaling vector.
+    Spark's IDF is ln((n+1)/(df+1)); the 1 that the smooth form adds goes into the scaling vector. The
+    vocabulary is model state on the driver: a corpus with more terms is refused, not cut. ``min_df`` and
+    ``max_df`` are shares below 1 and row counts from 1 on.
     """
-    counted = Pipeline(
-        stages=[
-            CountVectorizer(inputCol=terms, outputCol="__tf", vocabSize=vocabulary, minDF=min_df, maxDF=max_df),
-            IDF(inputCol="__tf", outputCol="__idf"),
-        ]
-    ).fit(train)
+    counter = CountVectorizer(inputCol=terms, outputCol="__tf", vocabSize=vocabulary, minDF=min_df)
+    if max_df is not None:
+        counter = counter.setMaxDF(max_df)
+    counted = Pipeline(stages=[counter, IDF(inputCol="__tf", outputCol="__idf")]).fit(train)
+    if len(counted.stages[0].vocabulary) >= vocabulary:
+        raise ValueError(f"more than {vocabulary} terms: raise the vocabulary size or min_df")
     scaling = Vectors.dense(counted.stages[1].idf.toArray() + 1.0)
     scale = ElementwiseProduct(scalingVec=scaling, inputCol="__tf", outputCol="__w")
     unit = Normalizer(p=2.0, inputCol="__w", outputCol="features")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sievelab.functions.hashing import hash_int
 from sievelab.functions.vectors import array_sum, class_means, distances_to, scale_by
+from sievelab.operators.skew import lookup_join
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,7 +32,7 @@ def conflict_pairs(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     first = docs.groupBy("text").agg(F.min("doc_id").alias("a"), F.min_by("source", "doc_id").alias("first_source"))
     return (
-        docs.join(first, "text")
+        lookup_join(docs, first, "text", F.col("doc_id"))
         .filter((F.col("doc_id") > F.col("a")) & (F.col("source") != F.col("first_source")))
         .select("a", F.col("doc_id").alias("b"))
     )
@@ -108,7 +109,7 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     first = events.groupBy("event_type").agg(F.min("ts").alias("t0"))
     hours = F.expr("CAST(CAST(ts - t0 AS INTERVAL HOUR) AS INT)")
     return (
-        events.join(F.broadcast(first), "event_type")
+        events.join(first, "event_type")
         .groupBy(F.col("event_type").alias("run"), hours.alias("epoch"))
         .agg(
             F.min("value").alias("loss"),

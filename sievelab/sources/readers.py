@@ -83,11 +83,14 @@ def _decodes(data: bytes, encoding: str) -> bool:
 def read_encoding_fallback(spark: SparkSession, path: str, schema: StructType = MESSAGE_SCHEMA) -> DataFrame:
     """Labelled messages from files of unknown encoding; one read per encoding that occurs.
 
-    Only file names and encodings reach the driver, as they do in any file listing.
+    Only file names and encodings reach the driver, as they do in any file listing. Spark reads GB18030
+    only with ``spark.sql.legacy.javaCharsets``, which is switched on when such a file is found.
     """
     by_encoding: dict[str, list[str]] = {}
     for row in detect_encodings(spark, path).collect():
         by_encoding.setdefault(row["encoding"], []).append(row["file"])
+    if "GB18030" in by_encoding:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     parts = [read_messages(spark, sorted(files), schema, enc) for enc, files in sorted(by_encoding.items())]
     out = parts[0]
     for part in parts[1:]:
@@ -140,6 +143,6 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("run", run)
     if "epoch" not in rows.columns:
         rows = rows.withColumn("__pos", F.monotonically_increasing_id())
-        first = F.broadcast(rows.groupBy("run").agg(F.min("__pos").alias("__first")))
+        first = rows.groupBy("run").agg(F.min("__pos").alias("__first"))
         rows = rows.join(first, "run").withColumn("epoch", F.col("__pos") - F.col("__first"))
     return rows.select("run", F.col("epoch").cast("int").alias("epoch"), *[F.col(n).cast("double") for n in names])
