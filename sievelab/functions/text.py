@@ -63,23 +63,22 @@ def word_pattern_tokens(text: Column | str, stop_words: Sequence[str] = ()) -> C
 
 
 def ngrams(tokens: Column | str, low: int = 1, high: int = 2) -> Column:
-    """All n-grams of ``low`` to ``high`` words, joined by blanks, shorter ones first."""
-    tokens = _col(tokens)
-    parts = []
-    for n in range(low, high + 1):
+    """All n-grams of ``low`` to ``high`` words, joined by blanks, shorter ones first.
+
+    The token expression is bound to a lambda variable, so it is evaluated once and not once per use.
+    """
+
+    def grams(words: Column, n: int) -> Column:
         if n == 1:
-            parts.append(tokens)
-            continue
-        grams = F.zip_with(
-            F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))),
-            F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ) if n == 2 else F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))),
-            lambda i: F.array_join(F.slice(tokens, i, n), " "),
-        )
-        parts.append(F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+            return words
+        count = F.size(words) - (n - 1)
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]))
+
+    def every(words: Column) -> Column:
+        return F.concat(*[grams(words, n) for n in range(low, high + 1)])
+
+    return F.get(F.transform(F.array(_col(tokens)), every), F.lit(0))
 
 
 def one_hot(label: Column | str, labels: Sequence[int]) -> Column:

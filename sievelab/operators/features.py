@@ -26,6 +26,15 @@ PAD, START, END, UNKNOWN = 0, 1, 2, 3
 FIRST_WORD_ID = 4
 
 
+def explode_terms(df: DataFrame, terms: Column | str, *keep: str, name: str = "term") -> DataFrame:
+    """One row per element of an array expression, next to the columns to keep.
+
+    The outer form with a filter behind it: for the plain form Spark derives a filter on the array's
+    size and runs the whole expression a second time, below any shuffle.
+    """
+    return df.select(*keep, F.explode_outer(terms).alias(name)).filter(F.col(name).isNotNull())
+
+
 def normalized_tokens(df: DataFrame, text: str = "message", stem: bool = True) -> DataFrame:
     """Adds ``tokens``: normalised, tokenised and, by default, stemmed words."""
     tokens = df.withColumn("tokens", tokenize_words(normalize_text(text)))
@@ -39,10 +48,10 @@ def normalized_text(df: DataFrame, text: str = "message", stem: bool = True) ->
 
 def drop_rare_tokens(df: DataFrame, minimum: int = 2, tokens: str = "tokens", key: str = "row_id") -> DataFrame:
     """Drop tokens that occur fewer than ``minimum`` times in the corpus; rows left empty stay."""
-    placed = df.select(key, F.posexplode(tokens).alias("pos", "token"))
-    common = placed.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= minimum).select("token")
+    placed = df.select(key, F.posexplode_outer(tokens).alias("pos", "token")).filter(F.col("token").isNotNull())
+    common = placed.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= minimum)
     kept = (
-        lookup_join(placed, common, "token", F.struct(key, "pos"))
+        lookup_join(placed, common, "token", F.struct(key, "pos"), "n")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("kept"))
         .select(key, F.transform("kept", lambda s: s["token"]).alias("kept"))
@@ -52,22 +61,24 @@ def drop_rare_tokens(df: DataFrame, minimum: int = 2, tokens: str = "tokens", ke
 
 
 def build_dictionary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(token, term_id) with ids 0.. in token order."""
-    words = df.select(F.explode(tokens).alias("token")).distinct()
+    """(token, occurrences, term_id) with ids 0.. in token order."""
+    words = explode_terms(df, tokens, name="token").groupBy("token").agg(F.count(F.lit(1)).alias("occurrences"))
     return ordered_rank(words, ["token"], "term_id").withColumn("term_id", (F.col("term_id") - 1).cast("int"))
 
 
 def term_counts(df: DataFrame, terms: Column | str, key: str = "row_id") -> DataFrame:
     """(key, term, n). Rows are spread by key first, so counting the terms of a row shuffles no term."""
     spread = df.select(key, F.col(terms).alias("__terms") if isinstance(terms, str) else terms.alias("__terms"))
-    exploded = spread.repartition(key).select(key, F.explode("__terms").alias("term"))
+    exploded = explode_terms(spread.repartition(key), "__terms", key)
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def doc2bow(df: DataFrame, dictionary: DataFrame, tokens: str = "tokens", key: str = "row_id") -> DataFrame:
     """(key, bow): sorted (term_id, n) pairs; unknown tokens are ignored, rows without any stay empty."""
     counts = term_counts(df, tokens, key)
-    coded = lookup_join(counts, dictionary.withColumnRenamed("token", "term"), "term", F.col(key))
+    coded = lookup_join(
+        counts, dictionary.withColumnRenamed("token", "term"), "term", F.col(key), "occurrences"
+    )
     pair = F.struct(F.col("term_id"), F.col("n").cast("int").alias("n"))
     bags = coded.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("bow"))
     empty = F.array().cast("array<struct<term_id:int,n:int>>")
@@ -83,9 +94,10 @@ def count_vectorize(
     """
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
-    vocabulary = train.select(F.explode(word_pattern_tokens(text, stop_words)).alias("term")).distinct()
+    words = explode_terms(train, word_pattern_tokens(text, stop_words))
+    vocabulary = words.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"))
     counts = term_counts(rows, word_pattern_tokens(text, stop_words))
-    return lookup_join(counts, vocabulary, "term", F.col("row_id"))
+    return lookup_join(counts, vocabulary, "term", F.col("row_id"), "occurrences")
 
 
 def inverse_document_frequency(
@@ -102,7 +114,7 @@ def weigh(counts: DataFrame, idf: DataFrame, sublinear: bool = False) -> DataFra
     tf = F.col("n").cast("double")
     if sublinear:
         tf = 1.0 + F.log(tf)
-    raw = lookup_join(counts, idf.select("term", "idf"), "term", F.col("row_id")).withColumn("w", tf * F.col("idf"))
+    raw = lookup_join(counts, idf, "term", F.col("row_id"), "df").withColumn("w", tf * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))
     return raw.select("row_id", "term", (F.col("w") / length).alias("weight"))
 
@@ -128,8 +140,8 @@ def encode_fixed_length(
     """
     room = width - 2
     cut = df.select(key, F.slice(tokens, 1, room).alias("__t"))
-    placed = cut.select(key, F.posexplode("__t").alias("pos", "token"))
-    known = lookup_join(placed, dictionary, "token", F.struct(key, "pos")).select(
+    placed = cut.select(key, F.posexplode_outer("__t").alias("pos", "token")).filter(F.col("token").isNotNull())
+    known = lookup_join(placed, dictionary, "token", F.struct(key, "pos"), "occurrences").select(
         key, "pos", (F.col("term_id") + FIRST_WORD_ID).alias("id")
     )
     found = known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "id"))).alias("ids"))
@@ -186,7 +198,7 @@ def fit_tfidf_pipeline(
 
 def sparse_id_rows(weights: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(row_id, term_ids, weights) from the long form, ids in ascending order."""
-    coded = lookup_join(weights, dictionary, "term", F.col("row_id"))
+    coded = lookup_join(weights, dictionary, "term", F.col("row_id"), "occurrences")
     pairs = F.array_sort(F.collect_list(F.struct("term_id", "weight")))
     return coded.groupBy("row_id").agg(pairs.alias("p")).select(
         "row_id", F.col("p.term_id").alias("term_ids"), F.col("p.weight").alias("weights")

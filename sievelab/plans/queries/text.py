@@ -28,41 +28,41 @@ def _parts(spark, sf):
 
 
 def q_normalize_text(spark, sf):
-    return views.messages(spark, sf).select("row_id", tx.normalize_text("message").alias("normalized"))
+    return views.texts(spark, sf).select("row_id", tx.normalize_text("message").alias("normalized"))
 
 
 def q_tokenize_words(spark, sf):
-    tokens = views.messages(spark, sf).select("row_id", tx.tokenize_words(tx.normalize_text("message")).alias("t"))
+    tokens = views.texts(spark, sf).select("row_id", tx.tokenize_words(tx.normalize_text("message")).alias("t"))
     return tokens.select("row_id", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n"))
 
 
 def q_stem_tokens(spark, sf):
-    return ft.normalized_text(views.messages(spark, sf)).select("row_id", "normalized")
+    return ft.normalized_text(views.texts(spark, sf)).select("row_id", "normalized")
 
 
 def q_tokenize_stoplist(spark, sf):
-    tokens = ft.topic_tokens(views.messages(spark, sf))
+    tokens = ft.topic_tokens(views.texts(spark, sf))
     return tokens.select("row_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n"))
 
 
 def q_drop_rare_tokens(spark, sf):
-    tokens = ft.drop_rare_tokens(ft.topic_tokens(views.messages(spark, sf)), 2)
+    tokens = ft.drop_rare_tokens(ft.topic_tokens(views.texts(spark, sf)), 2)
     return tokens.select("row_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n"))
 
 
 def q_build_dictionary(spark, sf):
-    return ft.build_dictionary(ft.topic_tokens(views.messages(spark, sf)))
+    return ft.build_dictionary(ft.topic_tokens(views.texts(spark, sf))).select("token", "term_id")
 
 
 def q_doc2bow(spark, sf):
-    tokens = ft.topic_tokens(views.messages(spark, sf))
+    tokens = ft.topic_tokens(views.texts(spark, sf))
     bags = ft.doc2bow(tokens, ft.build_dictionary(tokens))
     pair = F.transform("bow", lambda s: F.concat_ws(":", s["term_id"].cast("string"), s["n"].cast("string")))
     return bags.select("row_id", F.array_join(pair, " ").alias("bow"))
 
 
 def q_ngrams(spark, sf):
-    grams = views.messages(spark, sf).select("row_id", tx.ngrams(tx.word_pattern_tokens("message"), 1, 2).alias("g"))
+    grams = views.texts(spark, sf).select("row_id", tx.ngrams(tx.word_pattern_tokens("message"), 1, 2).alias("g"))
     return grams.select("row_id", F.array_join("g", "|").alias("terms"), F.size("g").alias("n"))
 
 
@@ -106,7 +106,7 @@ def q_max_token_length(spark, sf):
 
 
 def q_train_word2vec(spark, sf):
-    model = ft.train_word2vec(ft.normalized_tokens(views.messages(spark, sf)).select("tokens"), size=100, min_count=2)
+    model = ft.train_word2vec(ft.normalized_tokens(views.texts(spark, sf)).select("tokens"), size=100, min_count=2)
     return model.getVectors()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sievelab.functions.hashing import hash_int
 from sievelab.functions.vectors import array_sum, class_means, distances_to, scale_by
-from sievelab.operators.skew import lookup_join
+from sievelab.operators.skew import lookup_join, spread_rows
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages dealt out over the cores, for work on whole texts."""
+    return spread_rows(messages(spark, sf), "row_id")
+
+
 def messages_null(spark: SparkSession, sf: str) -> DataFrame:
     return messages(spark, sf).withColumn("message", F.when(F.col("row_id") % 17 != 0, F.col("message")))
 
@@ -30,9 +35,12 @@ def messages_null(spark: SparkSession, sf: str) -> DataFrame:
 def conflict_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each copy of a text paired with the first one when their sources differ; linear in the rows."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    first = docs.groupBy("text").agg(F.min("doc_id").alias("a"), F.min_by("source", "doc_id").alias("first_source"))
+    first = docs.groupBy("text").agg(
+        F.min("doc_id").alias("a"), F.min_by("source", "doc_id").alias("first_source"),
+        F.count(F.lit(1)).alias("copies"),
+    )
     return (
-        lookup_join(docs, first, "text", F.col("doc_id"))
+        lookup_join(docs, first, "text", F.col("doc_id"), "copies")
         .filter((F.col("doc_id") > F.col("a")) & (F.col("source") != F.col("first_source")))
         .select("a", F.col("doc_id").alias("b"))
     )

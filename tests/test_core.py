@@ -51,11 +51,13 @@ def test_ordered_rank(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_lookup_join_with_a_hot_key(spark):
+@pytest.mark.parametrize("hot_rows", [1, 100, 1_000_000])
+def test_lookup_join_with_a_hot_key(spark, hot_rows):
     fact = spark.range(5000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("term"))
     dim = fact.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("term <> '7'")
-    got = lookup_join(fact, dim, "term", F.col("id"))
-    want = fact.join(dim, "term")
+    dim = dim.withColumn("twice", 2 * F.col("n"))
+    got = lookup_join(fact, dim, "term", F.col("id"), "n", hot_rows)
+    want = fact.join(dim.drop("n"), "term")
     assert got.count() == want.count() == 4999
     assert got.exceptAll(want.select(*got.columns)).count() == 0
 

@@ -182,7 +182,7 @@ def test_tfidf_forms_agree(spark):
 
 def test_encode_cuts_and_pads(spark):
     df = spark.createDataFrame([(0, ["a", "b", "z"]), (1, ["a"] * 9), (2, [])], "row_id bigint, tokens array<string>")
-    dictionary = spark.createDataFrame([("a", 0), ("b", 1)], "token string, term_id int")
+    dictionary = spark.createDataFrame([("a", 2, 0), ("b", 1, 1)], "token string, occurrences bigint, term_id int")
     got = {r["row_id"]: (r["input_ids"], r["attention_mask"]) for r in ft.encode_fixed_length(df, dictionary, 6).collect()}
     assert got[0] == ([1, 4, 5, 3, 2, 0], [1, 1, 1, 1, 1, 0])
     assert got[1] == ([1, 4, 4, 4, 4, 2], [1] * 6)
