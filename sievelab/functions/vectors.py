@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -36,12 +38,8 @@ def squared_distance(a: Column | str, b: Column | str) -> Column:
 
 def class_means(df: DataFrame, features: str = "features", label: str = "sentiment") -> dict[int, list[float]]:
     """Mean vector of each class. Only classes x dimensions numbers reach the driver."""
-    long = df.select(label, F.posexplode(features).alias("pos", "x"))
-    rows = long.groupBy(label, "pos").agg(F.avg("x").alias("m")).orderBy(label, "pos").collect()
-    means: dict[int, list[float]] = {}
-    for r in rows:
-        means.setdefault(r[0], []).append(r["m"])
-    return means
+    mean = Summarizer.mean(array_to_vector(features)).alias("m")
+    return {r[label]: r["m"].toArray().tolist() for r in df.groupBy(label).agg(mean).orderBy(label).collect()}
 
 
 def distances_to(means: Sequence[Sequence[float]], features: str = "features") -> Column:

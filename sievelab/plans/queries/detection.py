@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievelab.operators import confident as cl, neighbors as nb
+from sievelab.operators.cleaning import collect_labels
 from sievelab.operators.summaries import detector_quality, outlier_counts
 from sievelab.plans import views
 from sievelab.plans.oracle import sql
+from sievelab.session import cut_lineage
 
 K = 5
 
@@ -39,6 +41,12 @@ def q_lof_clean(spark, sf):
     return nb.keep_clean(rows, nb.lof_flag(rows, K, "sentiment")).select("row_id", "sentiment")
 
 
+def q_merge_class_parts(spark, sf):
+    rows = views.outlier_vectors(spark, sf)
+    flagged = cut_lineage(nb.attach_flags(rows.select("row_id", "sentiment"), nb.lof_flag(rows, K, "sentiment")))
+    return nb.merge_class_parts([flagged.filter(F.col("sentiment") == y) for y in collect_labels(rows, "sentiment")])
+
+
 def q_detector_quality(spark, sf):
     rows = views.outlier_vectors(spark, sf)
     quality = detector_quality(nb.attach_flags(rows, nb.lof_flag(rows, K, "sentiment")))
@@ -53,7 +61,7 @@ def q_outlier_counts(spark, sf):
 
 def q_oof_probabilities(spark, sf):
     rows = cl.centroid_oof_probabilities(views.noisy_vectors(spark, sf))
-    long = rows.select("row_id", "fold", F.posexplode("probs").alias("class", "prob"))
+    long = rows.select("row_id", "fold", F.posexplode_outer("probs").alias("class", "prob"))
     return long.withColumn("prob", F.round("prob", 6))
 
 
@@ -81,6 +89,7 @@ QUERIES = {
     "lof_flag_global": q_lof_flag_global,
     "attach_flags": q_attach_flags,
     "lof_clean": q_lof_clean,
+    "merge_class_parts": q_merge_class_parts,
     "detector_quality": q_detector_quality,
     "outlier_counts": q_outlier_counts,
     "oof_probabilities": q_oof_probabilities,
@@ -128,6 +137,7 @@ ORACLE = {
     "lof_flag_by_class": sql("outlier_vectors", f"WITH {_lof(_CLASS)} SELECT row_id, markasnoise FROM flags"),
     "lof_flag_global": sql("outlier_vectors", f"WITH {_lof('true')} SELECT row_id, markasnoise FROM flags"),
     "attach_flags": sql("outlier_vectors", f"WITH {_lof(_CLASS)} SELECT row_id, sentiment, noise, markasnoise FROM flags"),
+    "merge_class_parts": sql("outlier_vectors", f"WITH {_lof(_CLASS)} SELECT row_id, sentiment, markasnoise FROM flags"),
     "lof_clean": sql("outlier_vectors", f"WITH {_lof(_CLASS)} SELECT row_id, sentiment FROM flags WHERE markasnoise = 0"),
     "detector_quality": sql("outlier_vectors", f"""
         WITH {_lof(_CLASS)}, c AS (SELECT count(*) FILTER (noise = 1 AND markasnoise = 1) AS tp,
