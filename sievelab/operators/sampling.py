@@ -33,6 +33,16 @@ def largest_remainder_quota(size: int, class_counts: Sequence[int]) -> list[int]
     return floors
 
 
+def _laid_out(counts: dict[str, list[int]]) -> list[tuple[str, int, int, int]]:
+    """Regions one after the other within each class."""
+    rows, at = [], None
+    for region, need in counts.items():
+        at = at or [0] * len(need)
+        rows += [(region, label, at[label], at[label] + n) for label, n in enumerate(need)]
+        at = [start + n for start, n in zip(at, need)]
+    return rows
+
+
 @dataclass(frozen=True)
 class SplitPlan:
     """Class counts and region sizes; holds numbers only, never rows."""
@@ -50,36 +60,45 @@ class SplitPlan:
         return sum(self.class_counts)
 
     def quota(self, region: str) -> list[int]:
+        """What the shares ask of each class for the region."""
         return class_quota(self.sizes.get(region, 0), self.shares)
 
-    def start(self, region: str) -> list[int]:
-        """Rows of each class that lie before the region; regions follow each other without overlap."""
-        before = REGIONS[: REGIONS.index(region)]
-        return [sum(self.quota(r)[i] for r in before) for i in range(len(self.class_counts))]
+    def counts(self) -> dict[str, list[int]]:
+        """Rows of each class in each region: the quota, but where rounding asks a class for more than it
+        has left, the missing rows come from the classes with most to spare."""
+        self.check()
+        left, out = list(self.class_counts), {}
+        for region in REGIONS:
+            need = self.quota(region)
+            take = [min(n, have) for n, have in zip(need, left)]
+            missing = sum(need) - sum(take)
+            spare = [have - n for n, have in zip(take, left)]
+            for label in sorted(range(len(spare)), key=lambda i: (-spare[i], i)):
+                extra = min(spare[label], missing)
+                take[label] += extra
+                missing -= extra
+            left = [have - n for n, have in zip(left, take)]
+            out[region] = take
+        return out
 
     def bounds(self) -> list[tuple[str, int, int, int]]:
-        return [
-            (region, label, start, start + count)
-            for region in REGIONS
-            for label, (start, count) in enumerate(zip(self.start(region), self.quota(region)))
-        ]
+        """(region, class, first, last) with first exclusive; regions follow each other without overlap."""
+        return _laid_out(self.counts())
 
     def check(self) -> None:
         if sum(self.sizes.values()) > self.total:
             raise CapacityError(f"regions need {sum(self.sizes.values())} rows, only {self.total} available")
-        for region, label, _, end in self.bounds():
-            if end > self.class_counts[label]:
-                raise CapacityError(
-                    f"class {label} needs {end} rows up to region {region}, has {self.class_counts[label]}"
-                )
 
     def subset_quota(self, region: str, size: int | None = None, shares: Sequence[float] | None = None) -> list[int]:
         """Rows per class of a subset of a region; refuses what the region cannot give."""
         size = self.sizes[region] if size is None else size
         if size > self.sizes[region]:
             raise CapacityError(f"{size} rows asked of region {region} with {self.sizes[region]}")
+        held = self.counts()[region]
+        if shares is None and size == self.sizes[region]:
+            return held
         need = class_quota(size, self.shares if shares is None else shares)
-        for label, (n, have) in enumerate(zip(need, self.quota(region))):
+        for label, (n, have) in enumerate(zip(need, held)):
             if n > have:
                 raise CapacityError(f"class {label} of region {region}: {n} rows asked, {have} available")
         return need
@@ -106,7 +125,6 @@ def _bounds_frame(df: DataFrame, rows: list, schema: str) -> DataFrame:
 
 def stratified_regions(ranked: DataFrame, plan: SplitPlan) -> DataFrame:
     """Adds ``region`` and ``region_rank`` (place in class and region). Rows outside all regions get null."""
-    plan.check()
     bounds = _bounds_frame(ranked, plan.bounds(), "region string, sentiment int, __start bigint, __end bigint")
     inside = (
         (ranked["sentiment"] == bounds["sentiment"])
@@ -137,7 +155,8 @@ def subset_with_distribution(
 def capacity_check(df: DataFrame, plan: SplitPlan) -> DataFrame:
     """(region, sentiment, need, have, ok): what each region asks of each class and what is left for it."""
     have = df.groupBy("sentiment").agg(F.count(F.lit(1)).alias("__total"))
-    bounds = _bounds_frame(df, plan.bounds(), "region string, sentiment int, __start bigint, __end bigint")
+    asked = _laid_out({region: plan.quota(region) for region in REGIONS})
+    bounds = _bounds_frame(df, asked, "region string, sentiment int, __start bigint, __end bigint")
     left = F.greatest(F.lit(0), F.coalesce(F.col("__total"), F.lit(0)) - F.col("__start")).cast("bigint")
     need = F.col("__end") - F.col("__start")
     return bounds.join(have, "sentiment", "left").select(

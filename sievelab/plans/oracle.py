@@ -35,12 +35,23 @@ VIEWS: dict[str, tuple[str, str]] = {
         UNION ALL SELECT 1, 'test', n * 12 // 100 FROM total
         UNION ALL SELECT 2, 'validation', n * 6 // 100 FROM total
         UNION ALL SELECT 3, 'noise', n * 22 // 100 FROM total"""),
-    "region_quota": ("region_size shares", """
-        SELECT ord, region, sentiment,
+    "region_asked": ("region_size shares", """
+        SELECT ord, region, sentiment, class_n,
                CASE WHEN sentiment = 3 THEN size - sum(CASE WHEN sentiment < 3 THEN round_even(size * p, 0) ELSE 0 END)
                                                        OVER (PARTITION BY region)
                     ELSE round_even(size * p, 0) END::BIGINT AS need
         FROM region_size, shares"""),
+    "noise_room": ("region_asked", """
+        SELECT ord, region, sentiment, least(need, room) AS take, room - least(need, room) AS spare,
+               sum(need - least(need, room)) OVER () AS missing
+        FROM (SELECT *, class_n - sum(CASE WHEN region <> 'noise' THEN need ELSE 0 END) OVER (PARTITION BY sentiment)
+                        AS room FROM region_asked) WHERE region = 'noise'"""),
+    "region_quota": ("region_asked noise_room", """
+        SELECT ord, region, sentiment, need FROM region_asked WHERE region <> 'noise'
+        UNION ALL
+        SELECT ord, region, sentiment, take + greatest(0, least(spare, missing - coalesce(
+                   sum(spare) OVER (ORDER BY spare DESC, sentiment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))
+        FROM noise_room"""),
     "region_bounds": ("region_quota", """
         SELECT region, sentiment, need,
                coalesce(sum(need) OVER (PARTITION BY sentiment ORDER BY ord

@@ -95,6 +95,11 @@ def test_regions_are_disjoint_and_exact(spark):
 def test_capacity_errors(spark):
     with pytest.raises(sampling.CapacityError):
         sampling.SplitPlan([5, 5], {"train": 11}).check()
+    full = sampling.SplitPlan([31, 121, 17, 20], {"train": 113, "test": 22, "validation": 12, "noise": 42})
+    counts = full.counts()
+    assert [sum(c) for c in counts.values()] == [113, 22, 12, 42]
+    assert [sum(c) for c in zip(*counts.values())] == full.class_counts
+    assert full.subset_quota("noise") == counts["noise"]
     plan = sampling.SplitPlan([90, 10], {"train": 50})
     with pytest.raises(sampling.CapacityError):
         plan.subset_quota("train", 51)
