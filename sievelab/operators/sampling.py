@@ -77,7 +77,7 @@ class SplitPlan:
                 extra = min(spare[label], missing)
                 take[label] += extra
                 missing -= extra
-            left = [have - n for n, have in zip(left, take)]
+            left = [have - n for have, n in zip(left, take)]
             out[region] = take
         return out
 
