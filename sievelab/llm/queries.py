@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules",)
+MODULES = ("quality_rules", "chat_format")
 
 
 def _all(name: str) -> dict:

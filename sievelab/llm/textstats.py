@@ -93,7 +93,7 @@ def text_counts(df: DataFrame) -> DataFrame:
         "__sorted",
         F.when(
             F.size(F.array_distinct("__windows")) < F.size("__windows"),
-            F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
     )
     twice = F.filter(
