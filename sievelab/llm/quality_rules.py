@@ -32,11 +32,11 @@ class Rule:
 #: Ratios as SQL over the counts of ``text_counts``; a text without words has the ratio 0.
 RATIOS = {
     "words": "double(n_words)",
-    "mean_word_length": "coalesce(word_chars / n_words, 0)",
-    "symbols_per_word": "coalesce(n_symbols / n_words, 0)",
-    "marks_per_word": "coalesce(n_marks / n_words, 0)",
-    "stop_share": "coalesce(n_stop / n_words, 0)",
-    "dup_line_share": "coalesce(n_dup_lines / n_lines, 0)",
+    "mean_word_length": "coalesce(try_divide(word_chars, n_words), 0)",
+    "symbols_per_word": "coalesce(try_divide(n_symbols, n_words), 0)",
+    "marks_per_word": "coalesce(try_divide(n_marks, n_words), 0)",
+    "stop_share": "coalesce(try_divide(n_stop, n_words), 0)",
+    "dup_line_share": "coalesce(try_divide(n_dup_lines, n_lines), 0)",
 }
 
 RULES = (
