@@ -30,6 +30,12 @@ def _removed(text: Column, chars: str) -> Column:
     return _length(text) - _length(rest)
 
 
+def _once(value: Column) -> Column:
+    """The value as a column that the optimizer keeps: a condition on later columns pushed below it would
+    repeat the value in every lambda that reads it. The always true draw makes the column count as not repeatable."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 def _covered(positions: Column) -> Column:
     """Words covered by windows that start at these ascending positions."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
@@ -52,10 +58,10 @@ def text_counts(df: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    step = df.withColumns({"__words": words_of(text), "__lines": lines})
+    step = df.withColumns({"__words": _once(words_of(text)), "__lines": _once(lines)})
     step = step.withColumns(
         {
-            "__hashes": F.transform("__words", lambda w: F.xxhash64(w)),
+            "__hashes": _once(F.transform("__words", lambda w: F.xxhash64(w))),
             "n_words": F.size("__words").cast("long"),
             "n_stop": F.size(F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
             "n_lines": F.size("__lines").cast("long"),
@@ -76,7 +82,7 @@ def text_counts(df: DataFrame) -> DataFrame:
     ).otherwise(F.array().cast("array<bigint>"))
     step = step.withColumns(
         {
-            "__windows": windows,
+            "__windows": _once(windows),
             "n_distinct": F.size(F.array_distinct("__hashes")).cast("long"),
             "n_runs": F.aggregate(
                 "__hashes",
@@ -91,10 +97,12 @@ def text_counts(df: DataFrame) -> DataFrame:
     # only texts with some window twice are sorted
     step = step.withColumn(
         "__sorted",
-        F.when(
-            F.size(F.array_distinct("__windows")) < F.size("__windows"),
-            F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
+        _once(
+            F.when(
+                F.size(F.array_distinct("__windows")) < F.size("__windows"),
+                F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+        ),
     )
     twice = F.filter(
         "__sorted",
