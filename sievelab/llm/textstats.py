@@ -32,8 +32,8 @@ def _removed(text: Column, chars: str) -> Column:
 
 def _once(value: Column) -> Column:
     """The value as a column that the optimizer keeps: a condition on later columns pushed below it would
-    repeat the value in every lambda that reads it. The always true draw makes the column count as not repeatable."""
-    return F.when(F.rand(0) >= 0, value)
+    repeat the value in every lambda that reads it. A partition number is never negative, but it makes the column count as not repeatable."""
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def _covered(positions: Column) -> Column:
