@@ -37,14 +37,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, with_path: bool = False):
     """The rows written once to the shared folder and read from there: work behind it is never repeated
-    and outlives any executor."""
+    and outlives any executor. With ``with_path`` also the folder, for ``drop_path`` when it is no longer read."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return (back, path) if with_path else back
 
 
 def crc_fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table of this module's own making."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
