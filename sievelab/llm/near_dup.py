@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sievelab.llm.common import drop_path, pick, spread, written
+from sievelab.llm.wordhash import U, mix, word_hashes
 from sievelab.session import cut_lineage
 
 SHINGLE = 4
@@ -38,47 +38,14 @@ PERCENT = 80
 #: Ids up to this number (16 MB) are broadcast to pick the texts to compare; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 CHUNK = 512
-U = np.uint64
-
-#: A-Z become a-z and white space becomes a blank.
-FOLD = bytes(32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
-FOLD_TABLE = np.frombuffer(FOLD, np.uint8)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A well mixing permutation of 64-bit numbers."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, one text after another, and their ends."""
-    column = pc.fill_null(column, "")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    body = column.buffers()[2]
-    raw = FOLD_TABLE[np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]]] if body is not None else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    blank = raw == 32
-    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    starts = np.union1d(starts, offsets[:-1][np.diff(offsets) > 0])
-    if not len(starts):
-        return np.zeros(0, U), np.zeros(len(column), np.int64)
-    words = pa.StringArray.from_buffers(
-        len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int32)), pa.py_buffer(raw)
-    ).dictionary_encode()
-    names = [w.rstrip(b" ") for w in words.dictionary.cast(pa.binary()).to_pylist()]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), U, len(names))
-    real = np.fromiter(map(bool, names), bool, len(names))
-    codes = words.indices.to_numpy()
-    kept = real[codes]
-    each = hashes[codes[kept]]
-    owner = np.searchsorted(offsets, starts[kept], side="right") - 1
-    counts = np.bincount(owner, minlength=len(column))
+    each, counts = word_hashes(column)
     ends = np.cumsum(counts)
     chain = np.full(max(0, len(each) - size + 1), 0x9E3779B97F4A7C15, U)
     for j in range(size):
-        chain = _mix(chain ^ each[j : j + len(chain)])
+        chain = mix(chain ^ each[j : j + len(chain)])
     out, n = [], np.zeros(len(column), np.int64)
     for i, (a, b) in enumerate(zip(ends - counts, ends)):
         if b - a >= size:
@@ -86,7 +53,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
         elif b > a:
             own = np.full(1, b - a, U)
             for w in each[a:b]:
-                own = _mix(own ^ w)
+                own = mix(own ^ w)
         else:
             continue
         out.append(own)
@@ -102,16 +69,16 @@ def sketches(elements: np.ndarray, ends: np.ndarray, size: int = COORDINATES) ->
     least = np.full(sets * size, np.iinfo(U).max, U)
     owner = np.repeat(np.arange(sets), counts)
     for turn in range(2 * size):
-        x = _mix(elements + U((0x9E3779B97F4A7C15 * (turn + 1)) & 0xFFFFFFFFFFFFFFFF))
+        x = mix(elements + U((0x9E3779B97F4A7C15 * (turn + 1)) & 0xFFFFFFFFFFFFFFFF))
         bins = ((x >> U(32)) * U(size) >> U(32)).astype(np.int64) if turn < size else turn - size
-        value = (U(turn) << U(54)) | (_mix(x) >> U(10))
+        value = (U(turn) << U(54)) | (mix(x) >> U(10))
         np.minimum.at(least, owner * size + bins, value)
         missing = (least.reshape(sets, size) == np.iinfo(U).max).any(axis=1)
         if not missing.any():
             break
         on = missing[owner]
         elements, owner = elements[on], owner[on]
-    return (_mix(least) & U(0xFFFF)).astype(np.uint16).reshape(sets, size)
+    return (mix(least) & U(0xFFFF)).astype(np.uint16).reshape(sets, size)
 
 
 def _prints(elements: np.ndarray, ends: np.ndarray) -> list[bytes]:
