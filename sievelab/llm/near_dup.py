@@ -38,6 +38,8 @@ PERCENT = 80
 #: Ids up to this number (16 MB) are broadcast to pick the texts to compare; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 CHUNK = 512
+#: Members of a mixed bucket that are compared as one group.
+LANE = 2048
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, one text after another, and their ends."""
@@ -196,18 +198,54 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket whose sketches agree enough; a pair is given in the first band that it shares."""
+    """Pairs of one bucket, of different components, whose sketches agree enough; a pair is given in the first band
+    that it shares. Rows come sorted by bucket and lanes; a group is the members of one lane, or of two to compare."""
+    rest: pa.Table | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-            for c in ("u_sketch", "v_sketch")
-        )
-        same = a == b
-        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-        good = (same.sum(axis=1) >= LEAST_AGREEING) & (first == batch.column("band").to_numpy())
-        yield batch.select(["u", "u_print", "v", "v_print"]).filter(pa.array(good))
+        rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
+        starts = _group_starts(rest)
+        if len(starts) > 1:
+            yield _close_pairs(rest.slice(0, int(starts[-1])))
+            rest = rest.slice(int(starts[-1]))
+    if rest is not None and rest.num_rows:
+        yield _close_pairs(rest)
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    first = np.zeros(rows.num_rows, bool)
+    first[:1] = True
+    for name in ("key", "low", "high"):
+        value = rows.column(name).to_numpy()
+        first[1:] |= value[1:] != value[:-1]
+    return np.flatnonzero(first)
+
+
+def _close_pairs(rows: pa.Table) -> pa.RecordBatch:
+    column = {c: rows.column(c).to_numpy() for c in ("band", "component", "size", "lane", "low", "high")}
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
+    starts = _group_starts(rows)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for begin, end in zip(starts, [*starts[1:], rows.num_rows]):
+        across = column["low"][begin] != column["high"][begin]
+        for i in range(begin, end - 1):
+            j = np.arange(i + 1, end)
+            j = j[column["component"][j] != column["component"][i]]
+            if across:
+                j = j[column["lane"][j] != column["lane"][i]]
+            least, most = np.minimum(column["size"][j], column["size"][i]), np.maximum(column["size"][j], column["size"][i])
+            j = j[least * 100 >= most * PERCENT]
+            if len(j):
+                same = sketch[j] == sketch[i]
+                close = same.sum(axis=1) >= LEAST_AGREEING
+                first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                j = j[close & (first == column["band"][i])]
+                if len(j):
+                    found.append((np.full(len(j), i), j))
+    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+    swap = column["component"][i] < column["component"][j]
+    u, v = rows.take(np.where(swap, j, i)), rows.take(np.where(swap, i, j))
+    columns = [x.column(c).combine_chunks() for x in (u, v) for c in ("node", "print")]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "u_print", "v", "v_print"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,12 +285,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = buckets.drop("centre").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
     left = cut_lineage(placed.join(mixed, "key").select("key", "band", "component", "node", "print", "size"))
-    rest = left.join(classes.select("print", "sketch"), "print")
-    u = rest.select("key", "band", F.col("component").alias("cu"), F.col("node").alias("u"), F.col("print").alias("u_print"), F.col("size").alias("nu"), F.col("sketch").alias("u_sketch"))
-    v = rest.select("key", F.col("component").alias("cv"), F.col("node").alias("v"), F.col("print").alias("v_print"), F.col("size").alias("nv"), F.col("sketch").alias("v_sketch"))
-    close = (F.col("cu") > F.col("cv")) & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT)
+    lanes = left.groupBy("key").agg(F.ceil(F.count("*") / LANE).cast("int").alias("lanes"))
+    lane = F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int")
+    # a member meets every lane of its bucket; a bucket of one lane is one group
+    groups = (
+        left.join(lanes, "key")
+        .withColumn("lane", lane)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+        .withColumns({"low": F.least("lane", "other"), "high": F.greatest("lane", "other")})
+        .drop("lanes", "other")
+        .join(classes.select("print", "sketch"), "print")
+    )
     pairs = cut_lineage(
-        u.join(v, "key").filter(close).select("band", "u", "u_print", "v", "v_print", "u_sketch", "v_sketch")
+        groups.repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high", "node")
         .mapInArrow(_agreeing, "u long, u_print binary, v long, v_print binary")
     )
     if not pairs.isEmpty():
