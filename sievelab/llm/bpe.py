@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ PIECE = 1 << 20
 FIRST_WINDOW = 32
 #: Words remembered by a worker: at most twice this number.
 REMEMBERED = 300_000
-BORDER = np.zeros(256, bool)
-BORDER[[9, 10, 11, 12, 13, 32]] = True
+#: White space bytes become blanks; the second also lowers A-Z.
+BLANK = np.array([32 if 9 <= b <= 13 else b for b in range(256)], np.uint8)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else BLANK[b] for b in range(256)], np.uint8)
 
 
 class Encoded:
@@ -101,24 +103,31 @@ class Codec:
 
     def word_ids(self, words: list[str]) -> list[list[int]]:
         """Ids of texts without inner borders, remembered."""
-        out = [self.words.get(w) for w in words]
-        new = [i for i, ids in enumerate(out) if ids is None]
+        out = list(map(self.words.young.get, words))
         far = []
-        for i in new:
+        part_of, remember = self.parts.get, self.words.put
+        for i, found in enumerate(out):
+            if found is not None:
+                continue
             word = words[i]
+            found = self.words.old.get(word)
+            if found is not None:
+                out[i] = found
+                remember(word, found)
+                continue
             if len(word) > LEAF or self.pattern is None or "<|" in word or (not word.isascii() and max(word) >= "̀") or "İ" in word:
                 far.append(i)
                 continue
             ids: list[int] = []
             for part in self.pattern.findall(word.lower()):
-                known = self.parts.get(part)
+                known = part_of(part)
                 if known is None:
                     shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.byte_chars)
                     known = [t.id for t in self.tokenizer.model.tokenize(shown)]
                     self.parts.put(part, known)
                 ids += known
             out[i] = ids
-            self.words.put(word, ids)
+            remember(word, ids)
         if far:
             for i, done in zip(far, self.tree([words[i] for i in far])):
                 out[i] = done.ids
@@ -197,9 +206,13 @@ class Codec:
     def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the ends of each text; texts are UTF-8 bytes between offsets."""
         raw = data[offsets[0] : offsets[-1]]
-        borders = BORDER[raw]
-        starts = np.flatnonzero(borders[:-1] & ~borders[1:]) + 1
-        starts = np.union1d(starts, (offsets[:-1] - offsets[0])[np.diff(offsets) > 0])
+        # what the tokenizer does not tell apart is looked up once; special tokens are case sensitive
+        raw = (LOWER if self.pattern is not None and b"<|" not in raw.tobytes() else BLANK)[raw]
+        borders = raw == 32
+        begins = np.zeros(len(raw), bool)
+        begins[1:] = borders[:-1] & ~borders[1:]
+        begins[(offsets[:-1] - offsets[0])[np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(raw)) if len(starts) else starts
         words = pa.StringArray.from_buffers(
             len(starts),
@@ -210,7 +223,7 @@ class Codec:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         known = self.word_ids(coded.dictionary.to_pylist())
         lengths = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter((i for ids in known for i in ids), np.int32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(known), np.int32, int(lengths.sum()))
         firsts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         many = lengths[codes] if len(codes) else np.zeros(0, np.int64)
         after = np.cumsum(many)
@@ -235,7 +248,7 @@ class Codec:
         data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
         ids, ends, first, base = [], [], 0, 0
         while first < len(column):
-            last = int(np.searchsorted(offsets, offsets[first] + (4 << 20), side="right"))
+            last = int(np.searchsorted(offsets, offsets[first] + (8 << 20), side="right"))
             last = min(len(column), max(first + 1, last - 1))
             part, stops = self.encode_flat(data, offsets[first : last + 1])
             ids.append(part)
@@ -279,8 +292,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2500):
+                part = batch.slice(at, 2500)
                 lists = _lists(*own.encode_column(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 

@@ -30,8 +30,10 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = FOLD_TABLE[np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]]] if body is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
     blank = raw == 32
-    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    starts = np.union1d(starts, offsets[:-1][np.diff(offsets) > 0])
+    begins = np.zeros(len(raw), bool)
+    begins[1:] = blank[:-1] & ~blank[1:]
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(begins)
     if not len(starts):
         return np.zeros(0, U), np.zeros(len(column), np.int64)
     words = pa.StringArray.from_buffers(
