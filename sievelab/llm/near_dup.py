@@ -7,7 +7,8 @@
 * Documents with equal sets form a class at once and only its representative goes on.
 * Each representative is first compared, on whole sets, with the least document of all its buckets, and links are
   joined into components. Then only pairs of different components that share a bucket are left; they pass if their
-  sketches agree in at least ``LEAST_AGREEING`` coordinates (six standard deviations below the threshold) and are compared too.
+  sketches agree in at least ``LEAST_AGREEING`` coordinates (six standard deviations below the threshold). Each member's
+  best partner is compared, round by round while that joins components, and at the end all pairs that are left.
   So a group of copies costs one comparison per copy, not one per pair, and nothing is capped.
 * Components come from alternating large-star and small-star steps over links.
 
@@ -40,6 +41,7 @@ BROADCAST_IDS = 2_000_000
 CHUNK = 512
 #: Members of a mixed bucket that are compared as one group.
 LANE = 2048
+LANE_SHINGLES = 2_000_000
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, one text after another, and their ends."""
@@ -158,11 +160,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         F.col("v_print").alias("print"),
     )
     wanted = cut_lineage(members.unionByName(centres))
-    nodes = cut_lineage(wanted.select(F.col("node").alias("doc_id")).distinct())
-    few = nodes.count() <= BROADCAST_IDS
-    own = texts.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
     return (
-        wanted.join(own, "node")
+        wanted.join(_texts_of(wanted, texts), "node")
         .repartition("centre", "lane")
         .sortWithinPartitions("centre", "lane", "member")
         .mapInArrow(_compare, "u long, v long")
@@ -197,18 +196,18 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket, of different components, whose sketches agree enough; a pair is given in the first band
-    that it shares. Rows come sorted by bucket and lanes; a group is the members of one lane, or of two to compare."""
+def _by_group(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """Calls ``work`` with tables of whole groups; rows come sorted by bucket and lanes. A group is the members of one
+    lane of a bucket, or of two lanes to compare."""
     rest: pa.Table | None = None
     for batch in batches:
         rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
         starts = _group_starts(rest)
         if len(starts) > 1:
-            yield _close_pairs(rest.slice(0, int(starts[-1])))
+            yield work(rest.slice(0, int(starts[-1])))
             rest = rest.slice(int(starts[-1]))
     if rest is not None and rest.num_rows:
-        yield _close_pairs(rest)
+        yield work(rest)
 
 
 def _group_starts(rows: pa.Table) -> np.ndarray:
@@ -220,15 +219,15 @@ def _group_starts(rows: pa.Table) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def _close_pairs(rows: pa.Table) -> pa.RecordBatch:
+def _candidates(rows: pa.Table, sketch: np.ndarray, later: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each member: partners of other components whose sketches agree enough, in how many coordinates, and whether
+    this bucket's band is the first that the pair shares. With ``later`` each pair comes once."""
     column = {c: rows.column(c).to_numpy() for c in ("band", "component", "size", "lane", "low", "high")}
-    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
     starts = _group_starts(rows)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     for begin, end in zip(starts, [*starts[1:], rows.num_rows]):
         across = column["low"][begin] != column["high"][begin]
-        for i in range(begin, end - 1):
-            j = np.arange(i + 1, end)
+        for i in range(begin, end):
+            j = np.arange(i + 1 if later else begin, end)
             j = j[column["component"][j] != column["component"][i]]
             if across:
                 j = j[column["lane"][j] != column["lane"][i]]
@@ -236,18 +235,70 @@ def _close_pairs(rows: pa.Table) -> pa.RecordBatch:
             j = j[least * 100 >= most * PERCENT]
             if len(j):
                 same = sketch[j] == sketch[i]
-                close = same.sum(axis=1) >= LEAST_AGREEING
-                first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                j = j[close & (first == column["band"][i])]
-                if len(j):
-                    found.append((np.full(len(j), i), j))
-    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
-    swap = column["component"][i] < column["component"][j]
+                agree = same.sum(axis=1)
+                close = agree >= LEAST_AGREEING
+                if close.any():
+                    first = same[close].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                    yield i, j[close], agree[close], first == column["band"][i]
+
+
+def _sketch_column(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
+
+
+def _best_pairs(rows: pa.Table) -> pa.RecordBatch:
+    """Each member with its most agreeing partner."""
+    found = [(i, j[agree.argmax()]) for i, j, agree, _ in _candidates(rows, _sketch_column(rows), later=False)]
+    i, j = np.array(found, int).reshape(-1, 2).T
+    component = rows.column("component").to_numpy()
+    swap = component[i] < component[j]
     u, v = rows.take(np.where(swap, j, i)), rows.take(np.where(swap, i, j))
     columns = [x.column(c).combine_chunks() for x in (u, v) for c in ("node", "print")]
     return pa.RecordBatch.from_arrays(columns, names=["u", "u_print", "v", "v_print"])
 
 
+MEMBER = "key long, band int, component long, node long, print binary, size long, lane int, low int, high int"
+
+
+def _with_partners(rows: pa.Table) -> pa.RecordBatch:
+    """The members that have a partner to compare with in this group."""
+    on = np.zeros(rows.num_rows, bool)
+    for i, j, _, first in _candidates(rows, _sketch_column(rows), later=True):
+        if first.any():
+            on[i] = True
+            on[j[first]] = True
+    kept = rows.select([f.strip().split(" ")[0] for f in MEMBER.split(",")]).filter(pa.array(on)).combine_chunks()
+    return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], schema=kept.schema)
+
+
+def _linked(rows: pa.Table) -> pa.RecordBatch:
+    """Pairs of a group whose whole sets are similar enough."""
+    texts = rows.column("text").combine_chunks()
+    elements, ends = shingle_sets(texts)
+    right = np.array([a == b for a, b in zip(_prints(elements, ends), rows.column("print").to_pylist())], bool)
+    sets = [elements[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
+    if not right.all():  # another text of the same id
+        rows, sets = rows.filter(pa.array(right)), [s for s, r in zip(sets, right) if r]
+    node = rows.column("node").to_numpy()
+    links = []
+    if sets:
+        sizes = np.array([len(s) for s in sets])
+        sketch = sketches(np.concatenate(sets), np.cumsum(sizes))
+        for i, js, _, first in _candidates(rows, sketch, later=True):
+            for j in js[first]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
+                    links.append((int(node[i]), int(node[j])))
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes (a column ``node``)."""
+    nodes = cut_lineage(nodes.select(F.col("node").alias("doc_id")).distinct())
+    few = nodes.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     texts = pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
@@ -281,29 +332,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(cut_lineage(first), texts).unionByName(same)
     found = cut_lineage(components(links))
 
-    # buckets that still hold several components
-    placed = buckets.drop("centre").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-    left = cut_lineage(placed.join(mixed, "key").select("key", "band", "component", "node", "print", "size"))
-    lanes = left.groupBy("key").agg(F.ceil(F.count("*") / LANE).cast("int").alias("lanes"))
-    lane = F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int")
-    # a member meets every lane of its bucket; a bucket of one lane is one group
-    groups = (
-        left.join(lanes, "key")
-        .withColumn("lane", lane)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
-        .withColumns({"low": F.least("lane", "other"), "high": F.greatest("lane", "other")})
-        .drop("lanes", "other")
-        .join(classes.select("print", "sketch"), "print")
-    )
-    pairs = cut_lineage(
-        groups.repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high", "node")
-        .mapInArrow(_agreeing, "u long, u_print binary, v long, v_print binary")
-    )
-    if not pairs.isEmpty():
-        links = confirmed(pairs, texts).unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        found = cut_lineage(components(links))
+    def groups(found: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, by bounded groups of each bucket."""
+        placed = buckets.drop("centre").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
+        left = cut_lineage(placed.join(mixed, "key").select("key", "band", "component", "node", "print", "size"))
+        load = F.greatest(F.count("*") / LANE, F.sum("size") / LANE_SHINGLES)
+        lanes = left.groupBy("key").agg(F.ceil(load).cast("int").alias("lanes"))
+        # a member meets every lane of its bucket; a bucket of one lane is one group
+        return (
+            left.join(lanes, "key")
+            .withColumn("lane", F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+            .withColumns({"low": F.least("lane", "other"), "high": F.greatest("lane", "other")})
+            .drop("lanes", "other")
+        )
+
+    def grouped(rows: DataFrame, work, schema: str) -> DataFrame:
+        ordered = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+        return ordered.mapInArrow(lambda batches: _by_group(batches, work), schema)
+
+    def sketched_groups(found: DataFrame) -> DataFrame:
+        return groups(found).join(classes.select("print", "sketch"), "print")
+
+    def best_pairs(found: DataFrame) -> DataFrame:
+        return cut_lineage(grouped(sketched_groups(found), _best_pairs, "u long, u_print binary, v long, v_print binary").distinct())
+
+    def all_links(found: DataFrame) -> DataFrame:
+        """Links among all that is left; pairs are compared inside tasks, a text moves once per group, not per pair."""
+        members = cut_lineage(grouped(sketched_groups(found), _with_partners, MEMBER))
+        return cut_lineage(grouped(members.join(_texts_of(members, texts), "node"), _linked, "u long, v long"))
+
+    def merged(links: DataFrame, found: DataFrame) -> DataFrame:
+        stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        return cut_lineage(components(links.unionByName(stars)))
+
+    # each member's best partner first, as long as that joins components; what is left is then compared in full
+    while not (pairs := best_pairs(found)).isEmpty():
+        links = cut_lineage(confirmed(pairs, texts))
+        last = links.isEmpty()
+        links = all_links(found) if last else links
+        if not links.isEmpty():
+            found = merged(links, found)
+        if last:
+            break
     for path in (classes_path, buckets_path):
         drop_path(docs.sparkSession, path)
     out = sketched.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
