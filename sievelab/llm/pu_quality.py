@@ -131,9 +131,9 @@ def fit(docs: DataFrame, positives: DataFrame, learn: Column, id_col: str = "doc
     # at most two samples of rows
     found = (
         _features(rows.join(F.broadcast(chosen.groupBy("doc_id").agg(F.collect_set("trusted").alias("groups"))), "doc_id"))
-        .sort("doc_id")
-        .select("groups", *[f"__{k}" for k in FEATURES])
+        .select("doc_id", "groups", *[f"__{k}" for k in FEATURES])
         .toPandas()
+        .sort_values(["doc_id", *[f"__{k}" for k in FEATURES]], kind="stable")
     )
     values = found[[f"__{k}" for k in FEATURES]].to_numpy(float)
     is_p = np.array([True in g for g in found.groups], bool)
