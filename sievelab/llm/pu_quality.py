@@ -8,7 +8,8 @@ The model is fitted on the driver from at most ``SAMPLE`` positives and ``SAMPLE
 least hash of their id. Scores are one Spark expression over counts of the whole text.
 
 Defined results: null and empty texts have counts of 0 and are scored by them; repeated rows get equal scores; rows with
-a null id are scored but never learnt from; without positives every score is 0.5; an empty table gives an
+a null id are scored but never learnt from; without positives every score is 0.5, and if the
+unlabelled rows look like the positives every score is high; an empty table gives an
 empty table; extra columns are left out. Language, source, id and labels are not inputs of a score.
 """
 
@@ -25,6 +26,8 @@ from sievelab.llm.textstats import text_counts
 SAMPLE = 20_000
 BINS = 12
 STEPS = 400
+#: If the prior can be this high, the unlabelled rows show no negatives to learn and every text is taken for good.
+ALL_POSITIVE = 0.99
 
 #: Ratios over the counts of ``text_counts``; 0 where there is nothing to divide by.
 FEATURES = {
@@ -105,14 +108,16 @@ def _fit(
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives in the unlabelled rows, from scores of rows that the scoring model has not seen."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[float, float]:
+    """Share of positives in the unlabelled rows, from scores of rows that the scoring model has not seen, and
+    its upper bound with slack for the size of the group."""
     cuts = np.unique(np.quantile(positive, np.linspace(0, 0.9, 91)))
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
-    slack = np.sqrt(np.log(40) / 2 / len(unlabelled)) + np.sqrt(np.log(40) / 2 / len(positive))
-    best = np.argmin((u + slack) / p)
-    return float(np.clip(u[best] / p[best], 0.01, 0.995))
+    slack_u, slack_p = (np.sqrt(np.log(40) / 2 / len(x)) for x in (unlabelled, positive))
+    best = np.argmin((u + slack_u + slack_p) / p)
+    point, upper = u[best] / p[best], (u[best] + slack_u) / p[best]
+    return float(np.clip(point, 0.01, 0.995)), float(min(upper, 1.0))
 
 
 def fit(docs: DataFrame, positives: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
@@ -148,7 +153,9 @@ def fit(docs: DataFrame, positives: DataFrame, learn: Column, id_col: str = "doc
     p, u = _one_hot(values[is_p], edges), _one_hot(values[is_u], edges)
     half = _fit(p[::2], u[::2], None)
     seen = lambda x: x @ half[:-1] + half[-1]
-    prior = estimate_prior(seen(p[1::2] if len(p) > 1 else p), seen(u[1::2] if len(u) > 1 else u))
+    prior, upper = estimate_prior(seen(p[1::2] if len(p) > 1 else p), seen(u[1::2] if len(u) > 1 else u))
+    if upper >= ALL_POSITIVE:
+        return Model([np.zeros(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), 4.0, prior)
     w = _fit(p, u, prior, _fit(p, u, prior))
     sizes = np.cumsum([len(e) + 1 for e in edges])[:-1]
     return Model(edges, np.split(w[:-1], sizes), float(w[-1]), prior)

@@ -22,7 +22,8 @@ def test_prior_of_a_known_mixture():
     rng = np.random.default_rng(4)
     p = rng.normal(2, 1, 4000)
     u = np.concatenate([rng.normal(2, 1, 2800), rng.normal(-2, 1, 1200)])
-    assert abs(m.estimate_prior(p, u) - 0.7) < 0.05
+    assert abs(m.estimate_prior(p, u)[0] - 0.7) < 0.05
+    assert m.estimate_prior(p, rng.normal(2, 1, 4000))[1] >= m.ALL_POSITIVE
 
 
 def test_odd_rows_and_missing_labels(spark):
