@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sievelab.operators.ranking import hash_rank
 
-# Tag names and their ids, class names in label order.
+# Tag names and their ids.
 NOISE_TAGS = {"none": 0, "mislabeled": 1, "irrelevant": 2, "translated": 3}
-CLASS_NAMES = ["Anti", "Neutral", "Pro", "News"]
 MAX_CATEGORIES = 10_000
 
 

@@ -88,7 +88,7 @@ VIEWS: dict[str, tuple[str, str]] = {
                 <= (SELECT count(*) // 2 FROM irrelevant_labelled)"""),
     "translated_raw": ("messages", """
         SELECT row_id, sentiment, array_to_string(list_reverse(string_split(message, ' ')), ' ') AS message, tweetid
-        FROM messages WHERE row_id % 4 = 0"""),
+        FROM messages"""),
     "translated_labelled": ("translated_raw", """
         SELECT row_id, message, tweetid, origin,
                CASE WHEN pos <= half

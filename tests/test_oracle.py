@@ -31,3 +31,8 @@ def test_same_as_sql(spark, con, key):
     problem, rows = compare(spark, con, QUERIES[key], ORACLES[key], SF)
     assert problem == ""
     assert rows > 0
+
+
+@pytest.mark.parametrize("key", sorted(k for k in set(QUERIES) - set(ORACLES) if k != "pipeline" and not k.startswith("op")))
+def test_others_run_to_the_last_row(spark, key):
+    QUERIES[key](spark, SF).write.format("noop").mode("overwrite").save()
