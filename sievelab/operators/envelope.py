@@ -1,7 +1,8 @@
 """Elliptic envelope: robust centre and covariance (FAST-MCD, Rousseeuw and Van Driessen 1999).
 
-Rows stay on the executors. Each step scans them twice: once for the distance that bounds the closest
-share of rows, once for the mean and covariance of those rows, for all groups and starts together.
+Rows stay on the executors. Starts are small random subsets, improved on a bounded sample of each group. Each step
+after that scans all rows twice: once for the distance that bounds the closest share of rows, once for the mean and
+covariance of those rows, for all groups and starts together.
 """
 
 from __future__ import annotations
@@ -12,15 +13,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sievelab.functions.hashing import hash_uniform
 from sievelab.operators.latent import truncated_svd
 from sievelab.operators.moments import exact_percentile, feature_width, group_moments, stack_rows
+from sievelab.operators.ranking import hash_rank
+from sievelab.session import cut_lineage
 
 RIDGE = 1e-9
-STARTS = 4
-MAX_STEPS = 10
+#: Rows per group that the starts are drawn from and first improved on (at least ROWS_PER_FEATURE times the width).
+SAMPLE_ROWS = 1500
+ROWS_PER_FEATURE = 5
+#: Random subsets of width + 1 rows per group; the best CANDIDATES of them are carried on with all rows.
+SUBSETS = 200
+CANDIDATES = 4
+#: C-steps never raise the determinant, so they end; a group that still moves after so many is refused.
+MAX_STEPS = 1000
+DIGIT_BITS = 16
 
 
 def chi2_quantile(share: float, freedom: int) -> float:
@@ -54,7 +63,7 @@ class Ellipse:
     def distances(self, x: np.ndarray) -> np.ndarray:
         """Squared Mahalanobis distances."""
         centred = x - self.mean
-        return np.einsum("ij,jk,ik->i", centred, self.inverse, centred)
+        return ((centred @ self.inverse) * centred).sum(axis=1)
 
 
 def _ellipse(n: float, total: np.ndarray, cross: np.ndarray) -> Ellipse:
@@ -77,7 +86,7 @@ def _measure(rows: DataFrame, models: dict[tuple[int, int], Ellipse]) -> DataFra
                     if (g, s) in models:
                         yield pd.DataFrame(
                             {"grp": part["grp"], "start": s, "row_id": part["row_id"],
-                             "dist": models[(g, s)].distances(x)}
+                             "dist": np.maximum(models[(g, s)].distances(x), 0.0)}
                         )
 
     return rows.mapInPandas(measure, "grp int, start int, row_id bigint, dist double")
@@ -92,54 +101,140 @@ def _closest(rows: DataFrame, models: dict, cuts: dict, width: int) -> dict[tupl
             x = stack_rows(batch.iloc[index])
             for (mg, s), model in models.items():
                 if mg == g:
-                    out[(int(g), s)] = x[model.distances(x) <= cuts[(g, s)]]
+                    out[(int(g), s)] = x[np.maximum(model.distances(x), 0.0) <= cuts[(g, s)]]
         return out
 
     return {key: _ellipse(*m) for key, m in group_moments(rows, pick, width).items() if m[0] > 0}
 
 
-def _cuts(distances: DataFrame, share: float) -> dict[tuple[int, int], float]:
-    """The distance that the closest ``share`` of rows lies within, per group and start."""
-    got = distances.groupBy("grp", "start").agg(
-        F.percentile_approx("dist", F.lit(share), F.lit(100_000)).alias("cut")
-    )
-    return {(r["grp"], r["start"]): r["cut"] for r in got.collect()}
+def exact_cuts(distances: DataFrame, share: float) -> dict[tuple[int, int], float]:
+    """The distance that the closest ``share`` of rows lies within, per group and start, at any table size.
+
+    The bits of a double that is not negative sort like the double, so the row sought is found digit by digit: each
+    pass counts at most 2^16 digits per group and start, combined on the map side, and keeps the rows of one digit.
+    """
 
+    def as_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = (batch["dist"].to_numpy(dtype=float) + 0.0).view(np.int64)
+            yield pd.DataFrame({"grp": batch["grp"], "start": batch["start"], "bits": bits})
 
-def fit_envelope(
-    rows: DataFrame, support: float = 0.8, seed: int = 522, starts: int = STARTS, max_steps: int = MAX_STEPS
-) -> dict[int, Ellipse]:
-    """Reweighted minimum covariance determinant of each group of (grp, row_id, features)."""
+    key = ["grp", "start"]
+    left = cut_lineage(
+        distances.select(*key, "dist").mapInPandas(as_bits, "grp int, start int, bits bigint")
+    )
+    below = Window.partitionBy(*key).orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = F.greatest(F.ceil(F.lit(share) * F.sum("n").over(Window.partitionBy(*key))), F.lit(1))
+    places = None
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        digits = left.groupBy(*key, F.shiftright("bits", shift).alias("digit")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("bits").alias("low"), F.max("bits").alias("high")
+        )
+        if places is None:
+            digits = digits.withColumn("place", wanted)
+        else:
+            digits = digits.join(F.broadcast(places), key)
+        found = (
+            digits.withColumn("upto", F.sum("n").over(below))
+            .filter((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place")))
+            .collect()
+        )
+        if all(r["low"] == r["high"] for r in found):
+            break
+        rest = [(r["grp"], r["start"], r["digit"], r["place"] - r["upto"] + r["n"]) for r in found]
+        chosen = distances.sparkSession.createDataFrame(rest, "grp int, start int, chosen bigint, place bigint")
+        places = chosen.select(*key, "place")
+        left = left.join(F.broadcast(chosen.select(*key, "chosen")), key).filter(
+            F.shiftright("bits", shift) == F.col("chosen")
+        ).drop("chosen")
+    return {(r["grp"], r["start"]): float(np.int64(r["low"]).view(np.float64)) for r in found}
+
+
+def _moments(x: np.ndarray) -> Ellipse:
+    return _ellipse(len(x), x.sum(axis=0), x.T @ x)
+
+
+def _step(x: np.ndarray, model: Ellipse, h: int) -> Ellipse:
+    return _moments(x[np.argsort(model.distances(x), kind="stable")[:h]])
+
+
+def starting_ellipses(x: np.ndarray, support: float, rng: np.random.Generator) -> list[Ellipse]:
+    """The best local minima of the determinant over a sample of rows.
+
+    One start is the half nearest to the medians, the others are random subsets of width + 1 rows, so that with fair
+    odds some hold good rows only. Each gets two C-steps, the best ones are then run until they settle.
+    """
+    n, width = x.shape
+    h = max(1, math.ceil(support * n))
+    centre = np.median(x, axis=0)
+    spread = np.median(np.abs(x - centre), axis=0)
+    far = (((x - centre) / np.where(spread > 0, spread, 1.0)) ** 2).sum(axis=1)
+    tried = [_moments(x[np.argsort(far, kind="stable")[: max(1, (n + 1) // 2)]])]
+    tried += [_moments(x[rng.choice(n, min(n, width + 1), replace=False)]) for _ in range(SUBSETS)]
+    tried = sorted((_step(x, _step(x, m, h), h) for m in tried), key=lambda m: m.log_det)
+    out: list[Ellipse] = []
+    for model in tried[: 3 * CANDIDATES]:
+        while True:
+            better = _step(x, model, h)
+            if better.log_det >= model.log_det - 1e-9:
+                break
+            model = better
+        if all(abs(model.log_det - m.log_det) > 1e-9 for m in out):
+            out.append(model)
+    return sorted(out, key=lambda m: m.log_det)[:CANDIDATES]
+
+
+def _starts(rows: DataFrame, width: int, support: float, seed: int) -> dict[tuple[int, int], Ellipse]:
+    """{(group, start): ellipse} from a seeded sample of each group; one task holds one group's sample."""
+    size = max(SAMPLE_ROWS, ROWS_PER_FEATURE * (width + 1))
+    sample = hash_rank(rows, ["row_id"], f"{seed}:starts", by=["grp"], keep_first=size)
+
+    def begin(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rank")
+        g = int(part["grp"].iloc[0])
+        found = starting_ellipses(stack_rows(part), support, np.random.default_rng([seed, g & 0xFFFFFFFF]))
+        return pd.DataFrame(
+            [(g, s, m.mean.tolist(), m.inverse.ravel().tolist(), m.log_det) for s, m in enumerate(found)],
+            columns=["grp", "start", "mean", "inverse", "log_det"],
+        )
+
+    schema = "grp int, start int, mean array<double>, inverse array<double>, log_det double"
+    return {
+        (r["grp"], r["start"]): Ellipse(np.array(r["mean"]), np.array(r["inverse"]).reshape(width, width), r["log_det"])
+        for r in sample.groupBy("grp").applyInPandas(begin, schema).collect()
+    }
+
+
+def fit_envelope(rows: DataFrame, support: float = 0.8, seed: int = 522) -> dict[int, Ellipse]:
+    """Reweighted minimum covariance determinant of each group of (grp, row_id, features).
+
+    The starts come from a bounded sample; every C-step after them, the cuts and the last reweighting go over all rows
+    with exact order statistics. Rows are read several times, so pass a written table. Steps go on until no group's
+    determinant falls; a group that does not settle is an error.
+    """
     width = feature_width(rows)
-    marked = rows
-    for s in range(starts):
-        marked = marked.withColumn(f"in{s}", hash_uniform(f"{seed}:start{s}", "row_id") < support)
 
-    def draw(batch: pd.DataFrame) -> dict:
-        out = {}
-        for g, index in batch.groupby("grp").indices.items():
-            part = batch.iloc[index]
-            x = stack_rows(part)
-            for s in range(starts):
-                out[(int(g), s)] = x[part[f"in{s}"].to_numpy(dtype=bool)]
-        return out
+    def step(models: dict) -> dict:
+        return _closest(rows, models, exact_cuts(_measure(rows, models), support), width)
 
-    models = {key: _ellipse(*m) for key, m in group_moments(marked, draw, width).items() if m[0] > 0}
-    for _ in range(max_steps):
-        better = _closest(rows, models, _cuts(_measure(rows, models), support), width)
-        settled = all(abs(better[k].log_det - models[k].log_det) < 1e-9 for k in better)
-        models = better
-        if settled:
-            break
-    best: dict[int, Ellipse] = {}
+    models = step(_starts(rows, width, support, seed))
+    best: dict[tuple[int, int], Ellipse] = {}
     for (g, _), model in sorted(models.items()):
-        if g not in best or model.log_det < best[g].log_det:
-            best[g] = model
-    raw = {(g, 0): m for g, m in best.items()}
-    medians = _cuts(_measure(rows, raw), 0.5)
+        if (g, 0) not in best or model.log_det < best[(g, 0)].log_det:
+            best[(g, 0)] = model
+    moving = dict(best)
+    for _ in range(MAX_STEPS):
+        better = step(moving)
+        moving = {k: m for k, m in better.items() if m.log_det < best[k].log_det - 1e-9}
+        best |= moving
+        if not moving:
+            break
+    else:
+        raise RuntimeError(f"the ellipses of {sorted(g for g, _ in moving)} do not settle")
+    medians = exact_cuts(_measure(rows, best), 0.5)
     limit, half = chi2_quantile(0.975, width), chi2_quantile(0.5, width)
-    cuts = {key: limit * medians[key] / half for key in raw}
-    return {g: m for (g, _), m in _closest(rows, raw, cuts, width).items()}
+    cuts = {key: limit * medians[key] / half for key in best}
+    return {g: m for (g, _), m in _closest(rows, best, cuts, width).items()}
 
 
 def elliptic_envelope(
@@ -149,9 +244,11 @@ def elliptic_envelope(
     """(row_id, distance, markasnoise): the farthest ``contamination`` share by Mahalanobis distance,
     overall or within each group."""
     grp: Column = F.lit(0) if group is None else F.col(group).cast("int")
-    rows = df.select(grp.alias("grp"), F.col("row_id").cast("bigint"), F.col(features).alias("features"))
+    rows = cut_lineage(
+        df.select(grp.alias("grp"), F.col("row_id").cast("bigint"), F.col(features).alias("features"))
+    )
     models = {(g, 0): m for g, m in fit_envelope(rows, support, seed).items()}
-    measured = _measure(rows, models).select("grp", "row_id", F.col("dist").alias("distance"))
+    measured = cut_lineage(_measure(rows, models).select("grp", "row_id", F.col("dist").alias("distance")))
     cut = exact_percentile(measured, "distance", 1.0 - contamination, by=["grp"])
     flagged = measured.join(F.broadcast(cut), "grp")
     return flagged.select("row_id", "distance", (F.col("distance") > F.col("cut")).cast("int").alias("markasnoise"))

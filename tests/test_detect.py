@@ -108,6 +108,24 @@ def test_envelope_finds_planted_rows(spark):
     assert {r["row_id"] for r in got} == set(range(0, 300, 20))
 
 
+def test_envelope_finds_a_tight_cluster(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 5))
+    x[:72] = 6.0 + 0.1 * rng.normal(size=(72, 5))
+    got = envelope.elliptic_envelope(vectors(spark, x), 0.18, 0.8).filter("markasnoise = 1").collect()
+    assert {r["row_id"] for r in got} == set(range(72))
+
+
+def test_exact_cuts(spark):
+    rng = np.random.default_rng(12)
+    values = np.concatenate([rng.exponential(size=3000), np.full(500, 0.25), np.zeros(40)])
+    rows = [(int(i % 2), 0, float(v)) for i, v in enumerate(values)]
+    got = envelope.exact_cuts(spark.createDataFrame(rows, "grp int, start int, dist double"), 0.8)
+    for g in (0, 1):
+        own = np.sort(values[g::2])
+        assert got[(g, 0)] == own[int(np.ceil(0.8 * len(own))) - 1]
+
+
 def test_chi2_quantile():
     assert envelope.chi2_quantile(0.975, 1) == pytest.approx(5.023886, abs=1e-5)
     assert envelope.chi2_quantile(0.5, 10) == pytest.approx(9.341818, abs=1e-5)
