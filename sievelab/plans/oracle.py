@@ -80,11 +80,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS pos,
                      round_even(count(*) OVER () * 0.25::DOUBLE, 0)::BIGINT AS q FROM irrelevant_raw)"""),
     "irrelevant": ("irrelevant_labelled", """
-        SELECT row_id, message, sentiment, (-1)::BIGINT AS tweetid, NULL::INT AS origin,
-               'irrelevant' AS noise_text FROM (
-            SELECT * FROM irrelevant_labelled WHERE message IS NOT NULL
-            QUALIFY row_number() OVER (PARTITION BY message ORDER BY md5('522:' || row_id), row_id) = 1)
-        QUALIFY row_number() OVER (ORDER BY md5('522:' || row_id), row_id)
+        SELECT row_id, message, sentiment, (-1)::BIGINT AS tweetid, NULL::INT AS origin, 'irrelevant' AS noise_text
+        FROM irrelevant_labelled WHERE message IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY message ORDER BY md5('522:' || row_id), row_id) = 1"""),
+    "irrelevant_capped": ("irrelevant irrelevant_labelled", """
+        SELECT * FROM irrelevant QUALIFY row_number() OVER (ORDER BY md5('522:' || row_id), row_id)
                 <= (SELECT count(*) // 2 FROM irrelevant_labelled)"""),
     "translated_raw": ("messages", """
         SELECT row_id, sentiment, array_to_string(list_reverse(string_split(message, ' ')), ' ') AS message, tweetid

@@ -16,8 +16,7 @@ def full_corpus(spark, sf, irrelevant=True, translated=True) -> Corpus:
     """The corpus with all three noise sources in its pool."""
     corpus = Corpus(views.messages(spark, sf))
     if irrelevant:
-        rows = views.pool_irrelevant(spark, sf)
-        corpus.add_unlabelled("irrelevant", rows, EVEN, rows.count() // 2)
+        corpus.add_unlabelled("irrelevant", views.pool_irrelevant(spark, sf), EVEN)
     if translated:
         corpus.add_labelled("translated", views.pool_translated(spark, sf), 0.5)
     return corpus
@@ -102,8 +101,8 @@ ORACLE = {
     "label_unlabelled_pool": sql("irrelevant_labelled", "SELECT row_id, sentiment FROM irrelevant_labelled"),
     "mislabel_ratio_pool": sql("translated_labelled", "SELECT row_id, origin, sentiment FROM translated_labelled"),
     "exclude_test_overlap": sql("translated_outside", "SELECT row_id, tweetid FROM translated_outside"),
-    "clean_noise_pool": sql("irrelevant", """
-        SELECT row_id, message, sentiment, tweetid, origin, noise_text FROM irrelevant"""),
+    "clean_noise_pool": sql("irrelevant_capped", """
+        SELECT row_id, message, sentiment, tweetid, origin, noise_text FROM irrelevant_capped"""),
     "union_noise_pool": sql("pool", "SELECT row_id, sentiment, tweetid, origin, noise_text, noise FROM pool"),
     "noise_source_shares": sql("pool", """
         SELECT noise, noise_text, round((SELECT count(*) FROM pool p WHERE p.noise = t.noise)
