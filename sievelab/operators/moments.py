@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sievelab.operators.ranking import ordered_rank
+from sievelab.session import cut_lineage
 
 FAN_IN = 32
 
@@ -20,7 +21,7 @@ def group_moments(
     """{(group, start): (n, sum, cross products)} over the rows that ``weigh`` picks.
 
     ``weigh`` takes a batch and gives {(group, start): matrix of the picked rows}. Each task adds up its
-    rows, at most ``FAN_IN`` tasks are merged at a time, and groups x starts matrices of width x width
+    rows, at most ``FAN_IN`` of these sums are merged at a time however many tasks there were, and groups x starts matrices of width x width
     reach the driver.
     """
     size = 1 + width + width * width
@@ -44,8 +45,8 @@ def group_moments(
             total += v
         return first.assign(v=[total.tolist()])
 
-    sums = df.mapInPandas(partial, schema).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(1024)))
-    lanes = 1024
+    sums = cut_lineage(df.mapInPandas(partial, schema).withColumn("lane", F.spark_partition_id()))
+    lanes = 1 + (sums.agg(F.max("lane")).first()[0] or 0)
     while lanes > FAN_IN:
         lanes = math.ceil(lanes / FAN_IN)
         sums = (

@@ -106,7 +106,7 @@ def q_max_token_length(spark, sf):
 
 
 def q_train_word2vec(spark, sf):
-    model = ft.train_word2vec(ft.normalized_tokens(views.texts(spark, sf)).select("tokens"), size=100, min_count=2)
+    model = ft.train_word2vec(ft.normalized_tokens(views.texts(spark, sf)).select("tokens"))
     return model.getVectors()
 
 

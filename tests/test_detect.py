@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelab.functions.text import TOPIC_STOP_WORDS, ngrams, word_pattern_tokens
-from sievelab.operators import classify, confident, envelope, features as ft, forest, latent, ledger, metrics, neighbors
+from sievelab.operators import classify, confident, envelope, features as ft, forest, latent, ledger, metrics, moments, neighbors
 
 DOCUMENTS = [
     "Bakers knead dough before sunrise",
@@ -116,6 +116,15 @@ def test_envelope_finds_a_tight_cluster(spark):
     assert {r["row_id"] for r in got} == set(range(72))
 
 
+def test_moments_merge_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(moments, "FAN_IN", 2)
+    x = np.arange(60.0).reshape(20, 3)
+    rows = vectors(spark, x).repartition(9).selectExpr("0 AS grp", "features")
+    got = moments.group_moments(rows, lambda b: {(0, 0): moments.stack_rows(b)}, 3)
+    n, total, cross = got[(0, 0)]
+    assert n == 20 and np.allclose(total, x.sum(axis=0)) and np.allclose(cross, x.T @ x)
+
+
 def test_exact_cuts(spark):
     rng = np.random.default_rng(12)
     values = np.concatenate([rng.exponential(size=3000), np.full(500, 0.25), np.zeros(40)])
