@@ -1,15 +1,16 @@
 """Quality classifier from positives and unlabelled text (non-negative PU learning).
 
 Trusted positives are labelled rows; all other text counts as unlabelled, whatever its label. The class prior is the
-least ratio of the two groups' shares above a score (best bin). A linear model over binned text ratios minimises
+least ratio of the two groups' shares above a score (best bin), from scores by models that have not seen the row. A
+linear model over binned text ratios minimises
 ``prior * R+(P) + max(0, R-(U) - prior * R-(P))``; where the second part turns negative, its gradient is reversed.
+The score is 0.5 where a share of ``LOST`` of the positives, scored by models that have not seen them, falls below.
 
 The model is fitted on the driver from at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled rows, those with the
 least hash of their id. Scores are one Spark expression over counts of the whole text.
 
 Defined results: null and empty texts have counts of 0 and are scored by them; repeated rows get equal scores; rows with
-a null id are scored but never learnt from; without positives every score is 0.5, and if the
-unlabelled rows look like the positives every score is high; an empty table gives an
+a null id are scored but never learnt from; without positives every score is 0.5; an empty table gives an
 empty table; extra columns are left out. Language, source, id and labels are not inputs of a score.
 """
 
@@ -26,7 +27,15 @@ from sievelab.llm.textstats import text_counts
 SAMPLE = 20_000
 BINS = 12
 STEPS = 400
-#: If the prior can be this high, the unlabelled rows show no negatives to learn and every text is taken for good.
+#: Folds of the scores that set the prior and the margin, and the decay of the prior's models.
+FOLDS = 5
+PRIOR_DECAY = 1e-2
+#: Rows up to which the folds are dealt ``DEALS`` times, and their scores and weights averaged; beyond it once.
+FEW = 3_000
+DEALS = 5
+#: Share of the positives that may be rejected.
+LOST = 0.01
+#: From this upper bound of the prior on, the unlabelled rows may all be positive.
 ALL_POSITIVE = 0.99
 
 #: Ratios over the counts of ``text_counts``; 0 where there is nothing to divide by.
@@ -63,6 +72,8 @@ class Model:
                 for edge, weight in zip(edges[1:], weights[1:]):
                     case = case.when(value <= float(edge), float(weight))
                 total = total + case.otherwise(float(weights[-1]))
+            else:
+                total = total + F.lit(float(weights[0]))
         return total
 
 
@@ -81,14 +92,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _fit(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, start: np.ndarray | None = None
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, start: np.ndarray | None = None, strength: float = 1e-3
 ) -> np.ndarray:
     """Weights and, last, the bias. Without a prior: plain logistic regression of the two groups. With a ``start``: the
     bounded sigmoid loss, on which a slip of the prior weighs little, from those weights on; else the log loss."""
     p, u = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) for x in (positive, unlabelled))
     w = np.zeros(p.shape[1], np.float32) if start is None else start
     first, second = np.zeros_like(w), np.zeros_like(w)
-    decay = np.append(np.full(len(w) - 1, 1e-3), 0)
+    decay = np.append(np.full(len(w) - 1, strength), 0)
     for step in range(1, STEPS + 1):
         sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
         if prior is None:
@@ -110,16 +121,58 @@ def _fit(
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[float, float]:
     """Share of positives in the unlabelled rows, from scores of rows that the scoring model has not seen, and
-    its upper bound with slack for the size of the group."""
-    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.9, 91)))
+    its upper bound with slack for the size of the group. The best bin holds most positives and has the least ratio
+    with one standard error on top."""
+    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.2, 41)))
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
-    slack_u, slack_p = (np.sqrt(np.log(40) / 2 / len(x)) for x in (unlabelled, positive))
-    best = np.argmin((u + slack_u + slack_p) / p)
-    point, upper = u[best] / p[best], (u[best] + slack_u) / p[best]
+    error = np.sqrt(u * (1 - u) / len(unlabelled) + (u / p) ** 2 * p * (1 - p) / len(positive) + 1 / len(unlabelled) ** 2)
+    best = np.argmin((u + error) / p)
+    slack = np.sqrt(np.log(40) / 2 / len(unlabelled))
+    point, upper = u[best] / p[best], (u[best] + slack) / p[best]
     return float(np.clip(point, 0.01, 0.995)), float(min(upper, 1.0))
 
 
+def _out_of_fold(x: np.ndarray, is_p: np.ndarray, is_u: np.ndarray, weights) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all rows, each by ``weights(positive, unlabelled)`` of the other folds, and the mean of all weights; a
+    single positive is in every fold."""
+    folds = min(FOLDS, int(is_p.sum()))
+    deals = DEALS if len(x) <= FEW else 1
+    rng = np.random.default_rng(5)
+    out, total = np.zeros(len(x)), 0
+    for _ in range(deals):
+        fold = np.zeros(len(x), int)
+        for group in (is_p, ~is_p):
+            fold[group] = rng.permutation(int(group.sum())) % folds
+        for k in range(folds):
+            rest = fold != k if folds > 1 else np.ones(len(x), bool)
+            w = weights(x[rest & is_p], x[rest & is_u] if (rest & is_u).any() else x[is_u])
+            out[fold == k] += (x[fold == k] @ w[:-1] + w[-1]) / deals
+            total = total + w.astype(float) / (deals * folds)
+    return out, total
+
+
+def learn_from(values: np.ndarray, is_p: np.ndarray, is_u: np.ndarray) -> Model:
+    """The model of rows of features, of which some are positives, some unlabelled, or both."""
+    mix = np.concatenate([values[is_p], values[is_u]])
+    edges = []
+    for i in range(len(FEATURES)):
+        cuts = np.unique(np.concatenate([np.quantile(mix[:, i], np.linspace(0.02, 0.98, BINS - 2)), np.quantile(values[is_u, i], [0.9, 0.99])]))
+        edges.append(cuts[cuts < mix[:, i].max()])
+    x = _one_hot(values, edges)
+    seen, _ = _out_of_fold(x, is_p, is_u, lambda p, u: _fit(p, u, None, strength=PRIOR_DECAY))
+    prior, _ = estimate_prior(seen[is_p], seen[is_u])
+
+    def weights(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return _fit(p, u, prior, _fit(p, u, prior))
+
+    unseen, w = _out_of_fold(x, is_p, is_u, weights)
+    # equal texts may score less by the mean model than in the folds; the last bit covers the rounding of sums
+    margin = min(np.quantile(x[is_p] @ w[:-1] + w[-1], LOST), np.quantile(unseen[is_p], LOST)) - 1e-3
+    sizes = np.cumsum([len(e) + 1 for e in edges])[:-1]
+    return Model(edges, np.split(w[:-1], sizes), float(w[-1] - margin), prior)
+
+
 def fit(docs: DataFrame, positives: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
     """A model from rows for which ``learn`` (an expression of ``doc_id``) holds.
 
@@ -145,20 +198,7 @@ def fit(docs: DataFrame, positives: DataFrame, learn: Column, id_col: str = "doc
     is_u = np.array([False in g for g in found.groups], bool)
     if not is_p.any() or not is_u.any():
         return None
-    mix = np.concatenate([values[is_p], values[is_u]])
-    edges = []
-    for i in range(len(FEATURES)):
-        cuts = np.unique(np.concatenate([np.quantile(mix[:, i], np.linspace(0.02, 0.98, BINS - 2)), np.quantile(values[is_u, i], [0.9, 0.99])]))
-        edges.append(cuts[cuts < mix[:, i].max()])
-    p, u = _one_hot(values[is_p], edges), _one_hot(values[is_u], edges)
-    half = _fit(p[::2], u[::2], None)
-    seen = lambda x: x @ half[:-1] + half[-1]
-    prior, upper = estimate_prior(seen(p[1::2] if len(p) > 1 else p), seen(u[1::2] if len(u) > 1 else u))
-    if upper >= ALL_POSITIVE:
-        return Model([np.zeros(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), 4.0, prior)
-    w = _fit(p, u, prior, _fit(p, u, prior))
-    sizes = np.cumsum([len(e) + 1 for e in edges])[:-1]
-    return Model(edges, np.split(w[:-1], sizes), float(w[-1]), prior)
+    return learn_from(values, is_p, is_u)
 
 
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,3 +39,21 @@ def test_odd_rows_and_missing_labels(spark):
     assert none is None and [r.score for r in m.scored(df, none).collect()] == [0.5] * 5
     empty = spark.createDataFrame([], schema)
     assert m.scored(empty, m.fit(empty, ids, F.lit(True))).count() == 0
+
+
+def test_a_little_junk_that_passes_the_rules_is_rejected(spark):
+    from sievelab.llm.quality_rules import keep_by_rules
+
+    rng = np.random.default_rng(8)
+    common = "the of and to in is that it was for on with as at by".split()
+    rare = ["".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(4, 9))) for _ in range(3000)]
+    clean = lambda: " ".join(str(rng.choice(common if rng.random() < 0.4 else rare)) for _ in range(rng.integers(30, 120)))
+    junk = lambda: " ".join(str(w) + "".join(rng.choice(list("xqzjk"), 5)) for w in rng.choice(rare, rng.integers(30, 120)))
+    rows = [(i, junk() if i % 25 == 0 else clean()) for i in range(300)]
+    docs = keep_by_rules(spark.createDataFrame(rows, "doc_id long, text string"))
+    trusted = spark.createDataFrame([(i,) for i in range(300) if i % 25 and i % 3 == 0], "doc_id long")
+    out = {r.doc_id: r for r in m.scored(docs, m.fit(docs, trusted, F.lit(True))).collect()}
+    bad, good = ([r for i, r in out.items() if (i % 25 == 0) == kind] for kind in (True, False))
+    assert len(bad) >= 8 and len(good) > 270
+    assert max(r.score for r in bad) < np.median([r.score for r in good]) and not any(r.predicted for r in bad)
+    assert np.mean([r.predicted for r in good]) > 0.95
