@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "chat_format", "decontaminate", "bpe", "token_file", "near_dup", "pu_quality", "html_extract", "katz", "license_scan")
+MODULES = (
+    "quality_rules", "chat_format", "decontaminate", "bpe", "token_file", "near_dup", "pu_quality", "html_extract", "katz", "license_scan",
+    "spelling_variants",
+)
 
 
 def _all(name: str) -> dict:
