@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "quality_rules", "chat_format", "decontaminate", "bpe", "token_file", "near_dup", "pu_quality", "html_extract", "katz", "license_scan",
-    "spelling_variants", "sentencepiece_codec",
+    "spelling_variants", "collocations", "sentencepiece_codec",
 )
 
 
