@@ -8,8 +8,9 @@
   counts up and answers each block which of its fingerprints reach ``least``. The pointer of an occurrence is its block and
   the fingerprint's rank in it, so an answer is one bit.
 * A block looks the frequent fingerprints up in its text, groups their occurrences by their words (two phrases with one fingerprint
-  part here), and materialises each phrase with its count. Phrases are added up over blocks as text and cut off at ``least``:
-  colliding fingerprints can only add candidates, never lose or change a count. All other phrases never become text.
+  part here), and sends the phrases with their counts to the fingerprint's part, packed as one value. The part adds them up as text
+  and cuts them off at ``least``: colliding fingerprints can only add candidates, never lose or change a count. Only frequent
+  phrases leave the parts as rows; all others never become text.
 * Every cut asks for the counts of its parts in one look-up join that deals hot keys out. Scores are exact decimals.
 * A phrase inside a longer one with as many occurrences is inside one that is one word longer with as many, too, so only
   those are compared.
@@ -171,8 +172,8 @@ class Block:
         value = (self.prefix[places + size] - self.prefix[places]) * self.powers[places + size - 1]
         return mix(value ^ mix(self.lang_hash[self.lang[places]] + U(size)))
 
-    def phrases(self, size: int, frequent: np.ndarray) -> pa.Table:
-        """lang, phrase, words and n of the phrases whose fingerprint's rank in the block is marked."""
+    def phrases(self, size: int, frequent: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+        """lang, phrase and n of the phrases whose fingerprint's rank in the block is marked, and that rank."""
         places = self.places(size)
         _, where = np.unique(self.fingerprints(places, size), return_inverse=True)
         wanted = frequent[where]
@@ -180,7 +181,7 @@ class Block:
         order = np.argsort(where, kind="stable")
         places, where = places[order], where[order]
         if not len(places):
-            return self.table(places, np.zeros(0, np.int64), size)
+            return self.table(places, np.zeros(0, np.int64), size), where
         new = np.append(True, where[1:] != where[:-1])
         group = np.cumsum(new) - 1
         first = places[new]
@@ -188,22 +189,39 @@ class Block:
         for i in range(size):
             same &= self.tokens[places + i] == self.tokens[first[group] + i]
         if same.all():
-            return self.table(first, np.bincount(group), size)
+            return self.table(first, np.bincount(group), size), where[new]
         # another phrase with the fingerprint of one: told apart by the words
         whole = np.stack([self.lang[places], *[self.tokens[places + i] for i in range(size)]], axis=1)
         _, first, n = np.unique(whole, axis=0, return_index=True, return_counts=True)
-        return self.table(places[first], n, size)
+        return self.table(places[first], n, size), where[first]
 
     def table(self, places: np.ndarray, n: np.ndarray, size: int) -> pa.Table:
         words = pa.array(self.words, pa.binary()).cast(pa.string())
         parts = [words.take(pa.array(self.tokens[places + i])) for i in range(size)]
         lang = pa.array(self.langs, pa.string()).take(pa.array(self.lang[places]))
         phrase = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-        return pa.table({"lang": lang, "phrase": phrase, "words": pa.array(np.full(len(places), size), pa.int32()), "n": pa.array(n, pa.int64())})
+        return pa.table({"lang": lang, "phrase": phrase, "n": pa.array(n, pa.int64())})
+
+
+def _pack(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 ASKED = "words int, part int, block long, keys binary, counts binary"
 ANSWER = "words int, part int, block long, bits binary, size int"
+FOUND = "words int, part int, phrases binary"
+
+
+def _merged(group: pa.Table, least: int) -> pa.Table:
+    """Phrases of one part added up over blocks, the frequent ones."""
+    every = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in group.column("phrases").to_pylist()])
+    summed = every.group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+    summed = summed.filter(pc.greater_equal(summed.column("n_sum"), least))
+    words = pa.array(np.full(len(summed), group.column("words")[0].as_py()), pa.int32())
+    return pa.table({"lang": summed.column("lang"), "phrase": summed.column("phrase"), "words": words, "n": summed.column("n_sum")})
 
 
 def _answers(group: pa.Table, least: int) -> pa.Table:
@@ -249,17 +267,28 @@ def frequent_phrases(docs: DataFrame, least: int, lang_col: str = "lang", text_c
     def look_up(block: pa.Table, answers: pa.Table) -> pa.Table:
         own = Block(block.to_pylist()[0])
         got = sorted(answers.to_pylist(), key=lambda r: (r["words"], r["part"]))
-        found = [own.table(np.zeros(0, np.int64), np.zeros(0, np.int64), 1)]
+        rows = []
         for size in range(1, LONGEST + 1):
-            marks = [np.unpackbits(unsqueeze(r["bits"], np.uint8), count=r["size"]) for r in got if r["words"] == size]
-            if marks:
-                found.append(own.phrases(size, np.concatenate(marks).astype(bool)))
-        return pa.concat_tables(found)
+            mine = [r for r in got if r["words"] == size]
+            if not mine:
+                continue
+            marks = [np.unpackbits(unsqueeze(r["bits"], np.uint8), count=r["size"]) for r in mine]
+            found, ranks = own.phrases(size, np.concatenate(marks).astype(bool))
+            part = np.searchsorted(np.cumsum([r["size"] for r in mine]), ranks, side="right")
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(len(mine) + 1))
+            found = found.take(pa.array(order))
+            rows += [(size, r["part"], _pack(found.slice(a, b - a))) for r, a, b in zip(mine, cuts, cuts[1:]) if b > a]
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        return pa.table({"words": pa.array(columns[0], pa.int32()), "part": pa.array(columns[1], pa.int32()), "phrases": pa.array(columns[2], pa.binary())})
+
+    def merge(group: pa.Table) -> pa.Table:
+        return _merged(group, least)
 
     asked = blocks.mapInArrow(ask, ASKED).repartition(parts, "words", "part")
     answers = asked.groupBy("words", "part").applyInArrow(answer, ANSWER)
-    seen = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, "lang string, phrase string, words int, n long")
-    counted = seen.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    seen = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, FOUND)
+    counted = seen.repartition(parts, "words", "part").groupBy("words", "part").applyInArrow(merge, "lang string, phrase string, words int, n long")
     phrases = written(counted, "phrases")
     drop_path(spark, blocks_path)
     return phrases, totals
