@@ -1,9 +1,10 @@
 """BPE encoding and decoding by tree concatenation, exactly as the tokenizers library does it.
 
 * A text longer than ``PIECE`` code points is cut by Spark into pieces that are encoded in parallel tasks.
-* Inside a piece, white space is a border that no token of a supported tokenizer crosses, so the words between are
-  encoded once each and looked up from then on. A word longer than ``LEAF`` is cut into halves down to leaves, and all
-  leaves are encoded together.
+* Inside a piece, white space is a border that no token of a supported tokenizer crosses, and so are changes between
+  letters, digits and signs in words of plain characters. What lies between is encoded once and looked up from then on, in
+  a table of ``REMEMBERED`` bytes at most. A word longer than ``LEAF`` is cut into halves down to leaves, and all leaves are
+  encoded together.
 * At each join a window of text around it is encoded again and grown until it gives, on both sides, two tokens in
   a row that the side has at the same places. Between them the window's tokens replace those of the sides. A sequence
   of BPE tokens in which all neighbours are right is right, so the joined tokens are those of the whole text.
@@ -18,7 +19,7 @@ they come; an empty table gives an empty table; extra columns are left out.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -32,8 +33,9 @@ from sievelab.llm.common import pick, spread
 LEAF = 512
 PIECE = 1 << 20
 FIRST_WINDOW = 32
-#: Words remembered by a worker: at most twice this number.
-REMEMBERED = 300_000
+#: Bytes of parts of words that a worker remembers, with their ids; and texts taken together.
+REMEMBERED = 32 << 20
+SLICE = 4 << 20
 #: White space bytes become blanks; the second also lowers A-Z.
 BLANK = np.array([32 if 9 <= b <= 13 else b for b in range(256)], np.uint8)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else BLANK[b] for b in range(256)], np.uint8)
@@ -46,24 +48,47 @@ class Encoded:
         self.text, self.ids, self.places = text, ids, places
 
 
-class Memory:
-    """A dictionary of bounded size: what was used since the last turn outlives the next one."""
+class Remembered:
+    """Parts of words and their ids as flat arrays, in two generations of bounded size: what was used since the last turn
+    outlives the next one."""
 
     def __init__(self, limit: int = REMEMBERED):
-        self.limit, self.young, self.old = limit, {}, {}
+        self.limit = limit
+        self.young = self.old = self._none()
 
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+    @staticmethod
+    def _none() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def look_up(self, words: pa.Array, make: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: where each one's begin in the third array, how many there are, and that array."""
+        young, old = (pc.fill_null(pc.index_in(words, value_set=g[0]), -1).to_numpy() for g in (self.young, self.old))
+        missing = np.flatnonzero((young < 0) & (old < 0))
+        made = make(words.take(pa.array(missing)).to_pylist()) if len(missing) else []
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        flat = np.concatenate([self.young[2], self.old[2], np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))])
+        first, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        base = 0
+        for found, (_, many, ids) in ((old, self.old), (young, self.young)):
+            base = len(self.young[2]) if found is old else 0
+            known = np.flatnonzero(found >= 0)
+            at = np.cumsum(many) - many
+            first[known], length[known] = at[found[known]] + base, many[found[known]]
+        first[missing], length[missing] = len(self.young[2]) + len(self.old[2]) + np.cumsum(sizes) - sizes, sizes
+        # overlong ones are not worth the room
+        fresh = np.flatnonzero((young < 0) & (pc.utf8_length(words).to_numpy() <= LEAF))
+        if len(fresh):
+            taken = flat[_spread(first[fresh], length[fresh])]
+            self.young = (pa.concat_arrays([self.young[0], words.take(pa.array(fresh))]), np.append(self.young[1], length[fresh]), np.append(self.young[2], taken))
+            if sum(x.nbytes for x in self.young) > self.limit // 2:
+                self.old, self.young = self.young, self._none()
+        return first, length, flat
+
+
+def _spread(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of all stretches one after another."""
+    after = np.cumsum(length)
+    return np.arange(int(after[-1]) if len(after) else 0) + np.repeat(first - (after - length), length)
 
 
 class Codec:
@@ -75,8 +100,8 @@ class Codec:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.words = Memory()
-        self.parts = Memory()
+        self.known = Remembered()
+        self.shown: pa.Array | None = None
         self.by_words, self.pattern = self._shape(spec)
         self.byte_chars = _byte_chars()
         # a window sees a special token that crosses the join whole
@@ -102,37 +127,22 @@ class Codec:
     # one word
 
     def word_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of texts without inner borders, remembered."""
-        out = list(map(self.words.young.get, words))
+        """Ids of texts without inner borders."""
+        out: list[list[int]] = []
         far = []
-        part_of, remember = self.parts.get, self.words.put
-        for i, found in enumerate(out):
-            if found is not None:
-                continue
-            word = words[i]
-            found = self.words.old.get(word)
-            if found is not None:
-                out[i] = found
-                remember(word, found)
-                continue
+        tokenize = self.tokenizer.model.tokenize
+        for i, word in enumerate(words):
+            ids: list[int] = []
             if len(word) > LEAF or self.pattern is None or "<|" in word or (not word.isascii() and max(word) >= "̀") or "İ" in word:
                 far.append(i)
-                continue
-            ids: list[int] = []
-            for part in self.pattern.findall(word.lower()):
-                known = part_of(part)
-                if known is None:
+            else:
+                for part in [word] if word.isascii() and word.isalpha() and word.islower() else self.pattern.findall(word.lower()):
                     shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.byte_chars)
-                    known = [t.id for t in self.tokenizer.model.tokenize(shown)]
-                    self.parts.put(part, known)
-                ids += known
-            out[i] = ids
-            remember(word, ids)
+                    ids += [t.id for t in tokenize(shown)]
+            out.append(ids)
         if far:
             for i, done in zip(far, self.tree([words[i] for i in far])):
                 out[i] = done.ids
-                if len(words[i]) <= LEAF:
-                    self.words.put(words[i], done.ids)
         return out
 
     # long words
@@ -212,27 +222,23 @@ class Codec:
         begins = np.zeros(len(raw), bool)
         begins[1:] = borders[:-1] & ~borders[1:]
         begins[(offsets[:-1] - offsets[0])[np.diff(offsets) > 0]] = True
+        if self.pattern is not None:
+            begins |= _part_borders(raw, np.flatnonzero(begins))
         starts = np.flatnonzero(begins)
-        ends = np.append(starts[1:], len(raw)) if len(starts) else starts
+        solid = ~borders
+        before = np.append(0, np.cumsum(solid))
         words = pa.StringArray.from_buffers(
-            len(starts),
-            pa.py_buffer(np.append(starts, ends[-1:]).astype(np.int32)),
-            pa.py_buffer(np.ascontiguousarray(raw)),
+            len(starts), pa.py_buffer(np.append(before[starts], before[-1]).astype(np.int32)), pa.py_buffer(raw[solid])
         )
         coded = words.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        known = self.word_ids(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter(chain.from_iterable(known), np.int32, int(lengths.sum()))
-        firsts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        many = lengths[codes] if len(codes) else np.zeros(0, np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        firsts, lengths, flat = self.known.look_up(coded.dictionary, self.word_ids)
+        many = lengths[codes]
         after = np.cumsum(many)
-        total = int(after[-1]) if len(after) else 0
-        index = np.arange(total) + np.repeat(firsts[codes] - (after - many), many) if total else np.zeros(0, np.int64)
         # chunks before each text's end
         closed = np.searchsorted(starts, offsets[1:] - offsets[0], side="left")
         text_ends = np.concatenate([[0], after])[closed]
-        return flat[index], text_ends
+        return flat[_spread(firsts[codes], many)], text_ends
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode_flat`` for a string column; nulls are empty. Slices keep working memory bounded."""
@@ -248,7 +254,7 @@ class Codec:
         data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
         ids, ends, first, base = [], [], 0, 0
         while first < len(column):
-            last = int(np.searchsorted(offsets, offsets[first] + (8 << 20), side="right"))
+            last = int(np.searchsorted(offsets, offsets[first] + SLICE, side="right"))
             last = min(len(column), max(first + 1, last - 1))
             part, stops = self.encode_flat(data, offsets[first : last + 1])
             ids.append(part)
@@ -258,6 +264,42 @@ class Codec:
         return (np.concatenate(ids), np.concatenate(ends)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """The library's text of each list of ids, special ones too."""
+        if self.tokenizer.decoder is not None:
+            return pa.array(self.tokenizer.decode_batch(ids.to_pylist(), skip_special_tokens=False), pa.string())
+        if self.shown is None:
+            size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+            self.shown = pa.array([self.tokenizer.id_to_token(i) for i in range(size)], pa.string())
+        tokens = pa.ListArray.from_arrays(ids.offsets, self.shown.take(ids.values))
+        return pc.binary_join(tokens, " ").cast(pa.string())
+
+
+#: Kinds of bytes: blank, letter, digit, sign; 4 for all that takes a closer look.
+KIND = np.array(
+    [0 if b == 32 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 4 if b < 32 or chr(b) in "'<\x7f" else 3 for b in range(128)] + [4] * 128,
+    np.uint8,
+)
+
+
+def _part_borders(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where parts begin inside words that hold only ASCII and Latin letters of two bytes: at each digit and wherever letters,
+    digits and signs meet. A word with any other character, an apostrophe or ``<`` has no inner borders here."""
+    kind = KIND[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    # U+00C0 to U+00FF; two of them are signs
+    letter = np.where((raw[lead + 1] == 0x97) | (raw[lead + 1] == 0xB7), 3, 1)
+    kind[lead] = kind[lead + 1] = letter
+    inner = np.zeros(len(raw), bool)
+    if not len(starts):
+        return inner
+    inner[1:] = (kind[1:] != 0) & (kind[:-1] != 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    open_word = np.maximum.reduceat(kind, starts) == 4
+    odd = np.zeros(len(raw), np.int8)
+    odd[starts] = np.diff(open_word.astype(np.int8), prepend=np.int8(0))
+    return inner & (np.cumsum(odd, dtype=np.int8) == 0)
+
+
 def _between(places: list[tuple[int, int]], low: int, high: int) -> tuple[int, int]:
     """The range of tokens whose places lie between two text positions."""
     from bisect import bisect_left, bisect_right
@@ -285,32 +327,39 @@ def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
-    """Per row: doc_id and ids, the tokens of the whole text."""
+def encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, decoded: bool = False
+) -> DataFrame:
+    """Per row: doc_id and ids, the tokens of the whole text; with ``decoded`` also the text of the ids, from the same pass."""
     rows = spread(pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col), "doc_id")
+    names = ["doc_id", "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2500):
-                part = batch.slice(at, 2500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 lists = _lists(*own.encode_column(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
+                columns = [part.column("doc_id"), lists, *([own.decode_lists(lists)] if decoded else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    short = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= piece).mapInArrow(run, "doc_id long, ids array<int>")
-    return short.unionByName(_encode_long(rows.filter(F.length("text") > piece), path, piece))
+    short = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= piece).mapInArrow(run, "doc_id long, ids array<int>" + (", decoded string" if decoded else ""))
+    far = _encode_long(rows.filter(F.length("text") > piece), path, piece)
+    return short.unionByName(decode(far, path) if decoded else far)
 
 
 def _encode_long(rows: DataFrame, path: str, piece: int) -> DataFrame:
     """Texts of more than one piece: pieces in parallel tasks, then the joins of one text in one task."""
     numbers = F.sequence(F.lit(0), ((F.length("text") - 1) / piece).cast("int"))
+    # named by what they hold, so that a task that runs again names them alike; equal rows are worked on once
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.col("text").cast("binary"), 256))
     pieces = (
-        rows.withColumn("row", F.monotonically_increasing_id())
-        .select("row", "doc_id", "text", F.explode(numbers).alias("n"))
-        .select("row", "doc_id", "n", F.substring("text", F.col("n") * piece + 1, F.lit(piece)).alias("text"))
+        rows.groupBy("doc_id", name.alias("row")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+        .select("row", "doc_id", "times", "text", F.explode(numbers).alias("n"))
+        .select("row", "doc_id", "times", "n", F.substring("text", F.col("n") * piece + 1, F.lit(piece)).alias("text"))
         .repartition("row", "n")
     )
-    kind = "row long, doc_id long, n int, head string, ids array<int>, tail string, parts array<int>, starts array<int>, ends array<int>"
+    kind = "row string, doc_id long, times long, n int, head string, ids array<int>, tail string, parts array<int>, starts array<int>, ends array<int>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -321,7 +370,8 @@ def _encode_long(rows: DataFrame, path: str, piece: int) -> DataFrame:
     def joined(pdf):
         return _joined(codec(path), pdf)
 
-    return pieces.mapInArrow(cut, kind).groupBy("row").applyInPandas(joined, "doc_id long, ids array<int>")
+    whole = pieces.mapInArrow(cut, kind).groupBy("row").applyInPandas(joined, "doc_id long, times int, ids array<int>")
+    return whole.select("doc_id", F.explode(F.array_repeat("ids", F.col("times"))).alias("ids"))
 
 
 def _piece(own: Codec, row: dict) -> pa.RecordBatch:
@@ -342,9 +392,9 @@ def _piece(own: Codec, row: dict) -> pa.RecordBatch:
     else:
         whole = own.tree([text])[0]
         out |= {"parts": whole.ids, "starts": [a for a, _ in whole.places], "ends": [b for _, b in whole.places]}
-    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("head", pa.string()), ("ids", pa.list_(pa.int32())), ("tail", pa.string())]
+    fields = [("row", pa.string()), ("doc_id", pa.int64()), ("times", pa.int64()), ("n", pa.int32()), ("head", pa.string()), ("ids", pa.list_(pa.int32())), ("tail", pa.string())]
     fields += [(c, pa.list_(pa.int32())) for c in ("parts", "starts", "ends")]
-    record = {**{c: row[c] for c in ("row", "doc_id", "n")}, **out}
+    record = {**{c: row[c] for c in ("row", "doc_id", "times", "n")}, **out}
     return pa.RecordBatch.from_arrays([pa.array([record[c]], t) for c, t in fields], names=[c for c, _ in fields])
 
 
@@ -370,23 +420,17 @@ def _joined(own: Codec, pdf):
         open_word = own.tree([row.tail])[0] if row.tail else None
     if open_word is not None:
         done.append(np.array(open_word.ids, np.int32))
-    return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "ids": [np.concatenate(done)]})
+    return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "times": pdf["times"].iloc[:1], "ids": [np.concatenate(done)]})
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` to rows of doc_id and ids: the library's text of all ids, special ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path).tokenizer
-        size = own.get_vocab_size(with_added_tokens=True)
-        shown = pa.array([own.id_to_token(i) for i in range(size)], pa.string()) if own.decoder is None else None
+        own = codec(path)
         for batch in batches:
-            ids = batch.column("ids")
-            if shown is None:
-                texts = pa.array(own.decode_batch(ids.to_pylist(), skip_special_tokens=False), pa.string())
-            else:
-                tokens = pa.ListArray.from_arrays(ids.offsets, shown.take(ids.values))
-                texts = pc.binary_join(tokens, " ")
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.string())], names=[*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([*part.columns, own.decode_lists(part.column("ids"))], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievelab.llm.bpe import decode, encode
+from sievelab.llm.bpe import encode
 from sievelab.llm.common import table
 
 
@@ -14,7 +14,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    coded = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    coded = encode(table(spark, sf_dir, "documents"), path, decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select(
         "doc_id",

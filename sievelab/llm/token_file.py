@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -129,39 +128,40 @@ def write_token_file(
     spark = docs.sparkSession
     rows = spread(pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col), "doc_id")
 
+    kind = np.dtype("<u2" if max(end_id, codec(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else "<u4")
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, squeeze = codec(tokenizer), zstandard.ZstdCompressor(level=1)
+        own, total = codec(tokenizer), np.zeros(0, np.int64)
         for batch in batches:
-            for first in range(0, batch.num_rows, 2500):
-                part = batch.slice(first, 2500)
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
                 ids, ends = own.encode_column(part.column("text"))
-                starts = np.concatenate([[0], ends[:-1]])
-                texts = [np.append(ids[a:b], end_id).astype(np.uint32) for a, b in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array([squeeze.compress(_planes(t)) for t in texts], pa.binary()),
-                    ],
-                    names=["doc_id", "n", "ids"],
-                )
-
-    coded, folder = written(rows.mapInArrow(encode, "doc_id long, n long, ids binary"), "ids", with_path=True)
+                ids = np.insert(ids, ends, end_id)
+                ends = ends + np.arange(1, len(ends) + 1)
+                more = np.bincount(ids, minlength=len(total))
+                more[: len(total)] += total
+                total = more
+                offsets = np.append(0, ends * kind.itemsize).astype(np.int32)
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])
+                sizes = pa.array(np.diff(ends, prepend=0), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, data, pa.nulls(len(part), pa.binary())], names=CODED)
+        # one row more tells how often this task met each id
+        columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=CODED)
+
+    every, folder = written(rows.mapInArrow(encode, "doc_id long, n long, ids binary, counts binary"), "ids", with_path=True)
+    coded = every.filter("counts IS NULL").drop("counts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_up, total = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                texts = [_unplanes(open_up.decompress(data.as_py())) for data in batch.column("ids").slice(first, 500)]
-                more = np.bincount(np.concatenate(texts))
-                wide, thin = (total, more) if len(total) >= len(more) else (more, total)
-                wide[: len(thin)] += thin
-                total = wide
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+            for data in batch.column("counts"):
+                total = np.frombuffer(data.as_py(), np.int64)
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
     # as many rows as the vocabulary has ids
-    found = coded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    told = every.filter("counts IS NOT NULL").select("counts")
+    found = told.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([end_id, *(r.id for r in found)]) + 1, np.int64)
     for r in found:
         counts[r.id] = r.n
@@ -172,7 +172,7 @@ def write_token_file(
     ordered = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "n").sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "n", "ids"
     )
-    ordered.mapInArrow(lambda batches: _blocks(batches, *sent.value), BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
+    ordered.mapInArrow(lambda batches: _blocks(batches, kind, *sent.value), BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
     blocks = spark.read.parquet(f"{out}/blocks")
     base, index = 0, []
     for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).sort("part").toLocalIterator():
@@ -183,22 +183,7 @@ def write_token_file(
     drop_path(spark, folder)
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """Bytes of equal weight next to each other, upper ones left out where all are 0."""
-    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    used = 4
-    while used > 2 and not planes[used - 1].any():
-        used -= 1
-    return bytes([used]) + planes[:used].tobytes()
-
-
-def _unplanes(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 4), np.uint8)
-    out[:, : data[0]] = planes.T
-    return out.view("<u4").reshape(-1)
-
-
+CODED = ["doc_id", "n", "ids", "counts"]
 BLOCKS = (
     "part int, block int, n long, bits binary, checkpoints binary, doc_ids array<long>, sizes array<int>, "
     "places array<long>, doc_sizes array<long>, doc_starts array<long>"
@@ -206,8 +191,8 @@ BLOCKS = (
 LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], codes: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
-    part, open_up = TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
+def _blocks(batches: Iterator[pa.RecordBatch], kind: np.dtype, codes: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
     held: list[np.ndarray] = []
     pieces: list[tuple] = []
     room, number, start = BLOCK, 0, 0
@@ -221,13 +206,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], codes: np.ndarray, lengths: np.nd
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
     for batch in batches:
-        for doc_id, data in zip(batch.column("doc_id"), batch.column("ids")):
-            ids = _unplanes(open_up.decompress(data.as_py()))
+        for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            ids = np.frombuffer(data.as_buffer(), kind)
             done = 0
             while done < len(ids):
                 piece = ids[done : done + room]
                 held.append(piece)
-                pieces.append((doc_id.as_py(), len(piece), done, len(ids), start))
+                pieces.append((doc_id, len(piece), done, len(ids), start))
                 done += len(piece)
                 room -= len(piece)
                 if not room:

@@ -48,6 +48,8 @@ def test_tables_in_pieces_and_back(spark, library):
         out = bpe.decode(bpe.encode(df, PATH, piece=piece), PATH).collect()
         assert sorted((r.doc_id or -1, r.ids) for r in out) == want
         assert all(r.decoded == library.decode(r.ids, skip_special_tokens=False) for r in out)
+        once = bpe.encode(df, PATH, piece=piece, decoded=True).collect()
+        assert sorted((r.doc_id or -1, r.ids, r.decoded) for r in once) == sorted((r.doc_id or -1, r.ids, r.decoded) for r in out)
     assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 
 
@@ -59,3 +61,27 @@ def test_other_tokenizers_go_through_the_tree(monkeypatch):
     rng = random.Random(8)
     texts = [random_text(rng, 200) for _ in range(40)]
     assert [e.ids for e in own.tree(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_memory_is_bounded_and_forgets_nothing_wrongly(library):
+    own = bpe.Codec(PATH)
+    own.known = bpe.Remembered(4000)
+    rng = random.Random(5)
+    import pyarrow as pa
+
+    for _ in range(60):
+        texts = [random_text(rng, 80) + " the thing, of 12 things (don't)" for _ in range(5)]
+        ids, ends = own.encode_column(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sum(x.nbytes for g in (own.known.young, own.known.old) for x in g) < 40_000
+
+
+def test_parts_of_plain_words_equal_the_library(library):
+    rng = random.Random(6)
+    signs = list("aZé×÷ÀÿßµªÆ09.,;-_()#$%&*+/:=?@[]^`{|}~'<>!\\\"") + ["'s", "''", "'ll", "\x7f", "\x00", "½", "²", "ſ", "Ā"]
+    texts = ["".join(rng.choice(signs + [" "]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    import pyarrow as pa
+
+    ids, ends = bpe.Codec(PATH).encode_column(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
