@@ -52,3 +52,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def rewritten(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read from there.
+
+    For loops: a checkpoint keeps the size that the optimizer guessed, and guesses of joins multiply from step to step; a written
+    table has the size of its files.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a table made by ``rewritten`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
