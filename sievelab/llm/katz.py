@@ -6,8 +6,8 @@ Words are 64-bit hashes of ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; ever
 * A block asks the partitioned count tables for its distinct words and word pairs, each once: keys are dealt to parts
   by hash, a part adds the training counts of all blocks and answers each. No word, however frequent,
   costs a part more than one entry per block, and a part's size is fixed by the number of parts, which follows the corpus.
-* Counts up to ``K`` are discounted by Good-Turing from the counts of counts, higher ones by the same amount as ``K``, so
-  every context leaves something to unseen words. If counts of counts give no valid discount, absolute discounting is used.
+* Counts up to ``K`` are discounted by Good-Turing from counts of counts smoothed by a line of logarithms, higher ones by the same
+  amount as ``K``, so every context leaves something to unseen words, in every table.
 * For each context the discounted mass of its successors and their unigram mass are added up, each distinct pair once;
   ``(1 - first) / (1 - second)`` is its back-off weight, kept in the context table by parts.
 * A token's probability: the discounted pair if seen; else the weight of its context times its unigram probability
@@ -36,6 +36,9 @@ from sievelab.llm.wordhash import U, mix, word_hashes
 BLOCK = 2_000_000
 PART_TOKENS = 4_000_000
 K = 5
+#: Counts up to this one make the line of counts of counts; and the flattest slope that it may have.
+SMOOTHED = 40
+FLATTEST = -1.05
 END, BEGIN = U(0x7B1D0C5A9E3F2468), U(0x2C6F81D4E7A90B35)
 
 
@@ -171,19 +174,31 @@ def _answer_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kind", "part", "block", "keys", "counts"])
 
 
+def smoothed_slope(count_of_counts: dict[int, int]) -> float:
+    """Slope b of the line log Z = a + b log r, where Z spreads the number of keys seen r times over the gap to its neighbours
+    (Gale and Sampson 1995); at most ``FLATTEST``, for flatter lines would raise counts. Without two points it is -2."""
+    seen = sorted(r for r, n in count_of_counts.items() if n and 0 < r <= SMOOTHED)
+    if len(seen) < 2:
+        return -2.0
+    z = []
+    for i, r in enumerate(seen):
+        before = seen[i - 1] if i else 0
+        after = seen[i + 1] if i + 1 < len(seen) else 2 * r - before
+        z.append(2 * count_of_counts[r] / (after - before))
+    return min(FLATTEST, float(np.polyfit(np.log(seen), np.log(z), 1)[0]))
+
+
 def discounts(count_of_counts: dict[int, int]) -> np.ndarray:
-    """Factors for counts 0 (unused) to ``K``; the last entry is the amount taken from every higher count."""
-    n = [0] + [count_of_counts.get(r, 0) for r in range(1, K + 2)]
+    """Katz's factors for counts 0 (unused) to ``K``; the last entry is the amount taken from every higher count.
+
+    Good-Turing on the smoothed counts of counts, which are A r**b: (r + 1) n(r + 1) / (r n(r)) is then ((r + 1) / r)**(1 + b),
+    and all factors lie between 0 and 1 whatever single counts of counts do.
+    """
+    rise = 1.0 + smoothed_slope(count_of_counts)
+    common = (K + 1.0) ** rise
+    r = np.arange(1, K + 1)
     out = np.zeros(K + 2)
-    ok = all(n[1:])
-    if ok:
-        common = (K + 1) * n[K + 1] / n[1]
-        for r in range(1, K + 1):
-            out[r] = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) if common != 1 else 0
-        ok = bool(((out[1 : K + 1] > 0) & (out[1 : K + 1] < 1)).all())
-    if not ok:
-        amount = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        out[1 : K + 1] = 1 - amount / np.arange(1, K + 1)
+    out[1 : K + 1] = (((r + 1.0) / r) ** rise - common) / (1.0 - common)
     out[K + 1] = K * (1 - out[K])
     return out
 
@@ -215,9 +230,9 @@ def _table_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for row in batch.to_pylist():
             values, times = np.unique(_open(row["counts"], np.int64), return_counts=True)
-            large = values > K + 1
+            large = values > SMOOTHED
             rows = [(row["kind"], int(v), int(t), int(v) * int(t)) for v, t in zip(values[~large], times[~large])]
-            rows.append((row["kind"], K + 2, int(times[large].sum()), int((values[large] * times[large]).sum())))
+            rows.append((row["kind"], SMOOTHED + 1, int(times[large].sum()), int((values[large] * times[large]).sum())))
             yield _to_batch(rows, "kind string, count long, keys long, tokens long")
 
 
@@ -227,8 +242,8 @@ def _totals(answers: DataFrame) -> Totals:
         .groupBy("kind", "count").agg(F.sum("keys").alias("keys"), F.sum("tokens").alias("tokens")).collect()
     )
     words = [r for r in rows if r.kind == "word table"]
-    one = discounts({r["count"]: r["keys"] for r in words if r["count"] <= K + 1})
-    two = discounts({r["count"]: r["keys"] for r in rows if r.kind == "pair table" and r["count"] <= K + 1})
+    one = discounts({r["count"]: r["keys"] for r in words})
+    two = discounts({r["count"]: r["keys"] for r in rows if r.kind == "pair table"})
     tokens, distinct = sum(r.tokens for r in words), sum(r["keys"] for r in words)
     taken = sum(r["keys"] * one[K + 1] if r["count"] > K else r.tokens * (1 - one[r["count"]]) for r in words)
     return Totals(tokens, distinct, taken / tokens if tokens else 1.0, one, two)

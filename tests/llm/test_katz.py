@@ -77,3 +77,18 @@ def test_texts_cut_over_blocks_and_empty_tables(spark):
     assert k.score_texts(df.limit(0), F.lit(False)).count() == 0
     only = k.score_texts(df.limit(3), F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score <= 0 for r in only)
+
+
+def test_factors_worked_out_by_hand():
+    # counts of counts as 1 / r**2: (r / (r + 1) - 1 / 6) / (5 / 6)
+    even = k.discounts({r: 3600 * 3600 / r**2 for r in range(1, 41)})
+    assert [round(float(x), 9) for x in even] == [0.0, 0.4, 0.6, 0.7, 0.76, 0.8, 1.0]
+
+
+def test_factors_stay_below_one_for_counts_out_of_line():
+    for odd in ({1: 1000, 2: 300, 3: 120, 4: 60, 5: 400, 6: 30}, {1: 10, 2: 50, 3: 90}, {7: 3}, {}, {1: 5, 40: 1}, {r: 100 for r in range(1, 41)}):
+        d = k.discounts(odd)
+        assert all(0 < x < 1 for x in d[1:6]) and list(d[1:6]) == sorted(d[1:6]) and d[6] > 0
+    assert k.smoothed_slope({r: 100 for r in range(1, 41)}) == k.FLATTEST
+    # more keys seen five times than four: the plain estimate would raise a count of four
+    assert 5 * 400 / (4 * 60) > 1
