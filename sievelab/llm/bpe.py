@@ -28,14 +28,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from sievelab.llm.common import pick, spread
+from sievelab.llm.common import give_back, pick, spread, trimmed
 
 LEAF = 512
 PIECE = 1 << 20
 FIRST_WINDOW = 32
 #: Bytes of parts of words that a worker remembers, with their ids; and texts taken together.
-REMEMBERED = 32 << 20
-SLICE = 4 << 20
+REMEMBERED = 16 << 20
+SLICE = 2 << 20
 #: White space bytes become blanks; the second also lowers A-Z.
 BLANK = np.array([32 if 9 <= b <= 13 else b for b in range(256)], np.uint8)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else BLANK[b] for b in range(256)], np.uint8)
@@ -320,7 +320,9 @@ def codec(path: str) -> Codec:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Codec(path)
+    made = Codec(path)
+    give_back()
+    return made
 
 
 def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -337,13 +339,13 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 lists = _lists(*own.encode_column(part.column("text")))
                 columns = [part.column("doc_id"), lists, *([own.decode_lists(lists)] if decoded else [])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    short = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= piece).mapInArrow(run, "doc_id long, ids array<int>" + (", decoded string" if decoded else ""))
+    short = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= piece).mapInArrow(trimmed(run), "doc_id long, ids array<int>" + (", decoded string" if decoded else ""))
     far = _encode_long(rows.filter(F.length("text") > piece), path, piece)
     return short.unionByName(decode(far, path) if decoded else far)
 

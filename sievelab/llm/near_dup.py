@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sievelab.llm.common import drop_path, pick, spread, written
+from sievelab.llm.common import drop_path, pick, spread, trimmed, written
 from sievelab.llm.wordhash import U, mix, word_hashes
 from sievelab.session import cut_lineage
 
@@ -164,7 +164,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         wanted.join(_texts_of(wanted, texts), "node")
         .repartition("centre", "lane")
         .sortWithinPartitions("centre", "lane", "member")
-        .mapInArrow(_compare, "u long, v long")
+        .mapInArrow(trimmed(_compare), "u long, v long")
     )
 
 
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: doc_id, n_shingles, component_id, kept."""
     texts = pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
     sketched = written(
-        spread(texts, "doc_id").mapInArrow(_sketch_rows, "doc_id long, n_shingles long, print binary, sketch binary"), "sketches"
+        spread(texts, "doc_id").mapInArrow(trimmed(_sketch_rows), "doc_id long, n_shingles long, print binary, sketch binary"), "sketches"
     )
     real = sketched.filter("doc_id is not null and n_shingles > 0")
     classes, classes_path = written(
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def grouped(rows: DataFrame, work, schema: str) -> DataFrame:
         ordered = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-        return ordered.mapInArrow(lambda batches: _by_group(batches, work), schema)
+        return ordered.mapInArrow(trimmed(lambda batches: _by_group(batches, work)), schema)
 
     def sketched_groups(found: DataFrame) -> DataFrame:
         return groups(found).join(classes.select("print", "sketch"), "print")
