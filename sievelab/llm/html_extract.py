@@ -1,13 +1,15 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into blocks: runs of text between block-level tags, inline markup merged, scripts, styles and the head
-left out. Each block has features of its ancestors (tags, words of class and id), of itself and of its text. The chain's
-two labels are article and other; weights come from maximum likelihood on labelled pages, labels from Viterbi.
+left out. Each block has features of its ancestors (tags, words of class and id), apart for those around and those inside
+the nearest article or main element and without html and body, of itself and of its text. The chain's two labels are article and other; weights come from maximum likelihood on labelled pages, labels from Viterbi.
 
 The labelled pages are drawn here by a seeded rule (``labelled_pages``): containers, menus, notices, adverts, forms,
 comments, sidebars and footers in the usual spellings, with made-up text that is alike in all of them. Other
 labelled pages can be given to ``train`` instead.
 
+Very long and hostile pages (unclosed tags and quotes, deep nesting) take time linear in their length.
+
 Defined results: null, empty and textless pages give the empty text; repeated rows are extracted one by one; null ids and
 urls stay; an empty table gives an empty table; extra columns are left out.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,36 +36,94 @@ BLOCK_TAGS = frozenset(
     "textarea tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style template noscript svg iframe head title".split())
+RAW_TAGS = frozenset("script style template noscript svg iframe title".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements that hold an article; features tell what is inside the nearest one from what is around it.
+HOLDERS = frozenset(["article", "main"])
+OPENING = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: The next attribute of a tag or its end. A quote counts only right after the equals sign, and only if it is closed.
+ATTRIBUTE = re.compile(r"([\s/]*+)(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)")
+NAMING = frozenset(["class", "id", "role"])
+#: A class word with one of these tells of the whole page's state, not of the element ("has-sidebar", "comments-open").
+STATES = frozenset("has have with without no is not open opened closed fixed sticky enabled disabled on off layout theme left right template".split())
+
+#: Words of class and id that the labelled pages use; others count as unknown.
+GOOD_NAMES = "content article post entry body text main story prose page".split()
+BAD_NAMES = (
+    "nav navbar menu breadcrumb breadcrumbs header masthead top footer bottom copyright legal sidebar side widget related "
+    "recommended notice cookie cookies consent banner alert popup modal newsletter subscribe signup login search form ad ads "
+    "advert advertisement sponsored sponsor promo promotion comment comments reply replies discussion respond share social tags "
+    "pagination pager skip toolbar"
+).split()
+KNOWN_NAMES = frozenset(GOOD_NAMES + BAD_NAMES)
+TAGS = sorted(BLOCK_TAGS | {"a", "b", "span", "em", "strong"})
+NAME_LIST = sorted(KNOWN_NAMES)
+TAG_BIT = {t: 1 << i for i, t in enumerate(TAGS) if t != "html"}
+NAME_BIT = {n: 1 << i for i, n in enumerate(NAME_LIST)}
+
+
+@dataclass
+class Open:
+    """An open element with sets, as bits, of what it and the elements around it are: ``outer`` and ``inner`` tags (up to and below the
+    nearest holder of an article) and, in the same way, names; ``block`` is the place of the nearest block-level element."""
+
+    tag: str
+    block: int
+    held: bool
+    outer: int
+    inner: int
+    far: int
+    near: int
 
 
 @dataclass
 class Block:
     text: str
     tag: str
-    ancestors: frozenset
-    names: frozenset
+    place: Open
     links: float
 
 
+def _names(value: str) -> int:
+    bits = 0
+    for token in value.split():
+        words = re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", token).lower())
+        if STATES.isdisjoint(words):
+            for word in words:
+                bits |= NAME_BIT.get(word, 0)
+    return bits
+
+
+def _attributes(page: str, at: int) -> tuple[int, int, bool]:
+    """Where a tag ends that has its name before ``at`` (-1: nowhere), the names in it, and whether it closes itself."""
+    names = 0
+    while match := ATTRIBUTE.match(page, at):
+        at = match.end()
+        if match[2]:
+            return at, names, "/" in match[1]
+        if match[3].lower() in NAMING:
+            names |= _names(match[4] or match[5] or match[6] or "")
+    return -1, names, False
+
+
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order; character references are decoded, runs of white space are one blank."""
+    """Leaf blocks in page order; character references are decoded, runs of white space are one blank.
+
+    One pass, linear in the page: a tag whose end lies in a quote that swallows the rest of the page ends at its first ``>``, and so do
+    all later ones; where no ``>`` follows at all, the rest is text.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    stack = [Open("body", 0, False, 0, 0, 0, 0)]
+    opened: Counter = Counter()
     texts: list[str] = []
     linked = at = 0
+    quotes, last = True, page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(texts).split())
         if text:
-            inner = next((t for t, _ in reversed(stack) if t in BLOCK_TAGS), "body")
-            out.append(
-                Block(text, inner, frozenset(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), linked / len(text))
-            )
+            out.append(Block(text, stack[stack[-1].block].tag, stack[-1], linked / len(text)))
         texts.clear()
         linked = 0
 
@@ -71,73 +132,104 @@ def blocks_of(page: str) -> list[Block]:
         if raw:
             text = html.unescape(raw)
             texts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 linked += len(text)
 
-    while match := TAG.search(page, at):
-        add(page[at : match.start()])
-        at = match.end()
-        if match[2] is None:
+    def close(tag: str) -> None:
+        while opened[tag]:
+            top = stack.pop()
+            opened[top.tag] -= 1
+            if top.tag == tag:
+                return
+
+    while 0 <= (start := page.find("<", at)) < last:
+        add(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page[start + 1] in "!?":
+            at = page.find(">", start) + 1
+            continue
+        match = OPENING.match(page, start + 1)
+        if not match:
+            add("<")
+            at = start + 1
             continue
         tag = match[2].lower()
+        at, names, closed = _attributes(page, match.end()) if quotes else (-1, 0, False)
+        if at < 0:
+            quotes, at = False, page.find(">", match.end()) + 1
+            closed = page[at - 2] == "/"
         if match[1]:
             if tag in BLOCK_TAGS:
                 flush()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            close(tag)
             continue
-        if tag in RAW_TAGS and not match[3].rstrip().endswith("/"):
-            end = re.compile(f"</{re.escape(tag)}[^>]*>|" + ("<body|" if tag == "head" else "") + r"\Z", re.I).search(page, at)
-            at = end.start() if end[0].lower().startswith("<body") else end.end()
+        if tag in RAW_TAGS and not closed:
+            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            if not at:
+                at = len(page)
             continue
         if tag == "br":
             texts.append(" ")
         if tag in BLOCK_TAGS:
             flush()
-            if any(t == "p" for t, _ in stack):
-                while stack.pop()[0] != "p":
-                    pass
+            close("p")
             closes = CLOSED_BY.get(tag, ())
-            inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK_TAGS), None)
-            if closes and inner is not None and stack[inner][0] in closes:
-                del stack[inner:]
-        if tag not in VOID_TAGS and not match[3].rstrip().endswith("/"):
-            words = " ".join(a or b or c for a, b, c in NAMES.findall(match[3])) if match[3] else ""
-            stack.append((tag, frozenset(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", words).lower()))))
+            place = stack[-1].block
+            if place and stack[place].tag in closes:
+                for gone in stack[place:]:
+                    opened[gone.tag] -= 1
+                del stack[place:]
+        if tag not in VOID_TAGS and not closed:
+            if tag in ("html", "body"):
+                continue
+            around, bit = stack[-1], TAG_BIT.get(tag, 0)
+            place = len(stack) if tag in BLOCK_TAGS else around.block
+            if tag in HOLDERS:
+                own = Open(tag, place, True, around.outer | around.inner | bit, 0, around.far | around.near, names)
+            elif around.held:
+                own = Open(tag, place, True, around.outer, around.inner | bit, around.far, around.near | names)
+            else:
+                own = Open(tag, place, False, around.outer | bit, 0, 0, around.near | names)
+            stack.append(own)
+            opened[tag] += 1
     add(page[at:])
     flush()
     return out
 
 
-#: Words of class and id that the labelled pages use; others count as unknown.
-GOOD_NAMES = "content article post entry body text main story prose page".split()
-BAD_NAMES = (
-    "nav navbar menu breadcrumb breadcrumbs header masthead top footer bottom copyright legal sidebar side widget related "
-    "recommended notice cookie cookies consent banner alert popup modal newsletter subscribe signup login search form ad ads "
-    "advert advertisement sponsored sponsor promo promotion comment comments reply replies discussion respond share social tags "
-    "pagination pager skip toolbar"
-).split()
-KNOWN_NAMES = frozenset(GOOD_NAMES + BAD_NAMES)
-TAGS = sorted(BLOCK_TAGS | {"a", "b", "span", "em", "strong"})
 FEATURES = (
-    [f"in:{t}" for t in TAGS] + [f"tag:{t}" for t in sorted(BLOCK_TAGS)] + [f"name:{n}" for n in sorted(KNOWN_NAMES)]
+    [f"in:{t}" for t in TAGS] + [f"inside:{t}" for t in TAGS] + [f"tag:{t}" for t in sorted(BLOCK_TAGS | {"body"})]
+    + [f"{kind}:{n}" for kind in ("name", "near", "far") for n in NAME_LIST]
     + ["linked", "half linked", "words<4", "words<12", "words<40", "long", "stop at end", "sign of right", "always"]
 )
 NUMBER = {name: i for i, name in enumerate(FEATURES)}
 
 
+@lru_cache(maxsize=10_000)
+def _place_features(tag: str, held: bool, outer: int, inner: int, far: int, near: int) -> tuple[int, ...]:
+    names = [f"tag:{tag}", "always"]
+    names += [f"in:{t}" for t, bit in TAG_BIT.items() if outer & bit] + [f"inside:{t}" for t, bit in TAG_BIT.items() if inner & bit]
+    # names inside a holder have a weight that they share with names elsewhere and one of their own
+    for kind in ("name", "near") if held else ("name",):
+        names += [f"{kind}:{n}" for n, bit in NAME_BIT.items() if near & bit]
+    names += [f"far:{n}" for n, bit in NAME_BIT.items() if far & bit]
+    return tuple(NUMBER[n] for n in names)
+
+
 def features_of(block: Block) -> list[int]:
-    words = block.text.count(" ") + 1
-    names = [f"in:{t}" for t in block.ancestors] + [f"name:{n}" for n in block.names & KNOWN_NAMES] + [f"tag:{block.tag}", "always"]
-    names.append("words<4" if words < 4 else "words<12" if words < 12 else "words<40" if words < 40 else "long")
+    place, words = block.place, block.text.count(" ") + 1
+    names = ["words<4" if words < 4 else "words<12" if words < 12 else "words<40" if words < 40 else "long"]
     if block.links > 0.3:
         names.append("half linked" if block.links < 0.9 else "linked")
     if block.text[-1] in ".!?…。":
         names.append("stop at end")
     if "©" in block.text:
         names.append("sign of right")
-    return [NUMBER[n] for n in names if n in NUMBER]
+    return [*_place_features(block.tag, place.held, place.outer, place.inner, place.far, place.near), *(NUMBER[n] for n in names)]
 
 
 def page_features(blocks: list[Block]) -> list[list[int]]:
@@ -175,13 +267,14 @@ def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 300, deca
     """Maximum likelihood of label sequences; all pages advance side by side through the forward and backward sums."""
     pages = [p for p in pages if p[0]]
     longest = max(len(p[1]) for p in pages)
-    x = np.zeros((len(pages), longest, len(FEATURES)), np.float32)
     y = np.zeros((len(pages), longest), int)
     on = np.zeros((len(pages), longest), bool)
-    for i, (rows, labels) in enumerate(pages):
+    for i, (_, labels) in enumerate(pages):
         y[i, : len(labels)], on[i, : len(labels)] = labels, True
-        for j, row in enumerate(rows):
-            x[i, j, row] = 1
+    # features of all blocks behind each other, and the block of each
+    active = np.concatenate([row for rows, _ in pages for row in rows]).astype(int)
+    sizes = np.array([len(row) for rows, _ in pages for row in rows])
+    first = np.cumsum(sizes) - sizes
     w, moves = np.zeros(len(FEATURES)), np.zeros((2, 2))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(moves), np.zeros_like(moves)]
     pair_counts = np.zeros((2, 2))
@@ -190,7 +283,7 @@ def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 300, deca
             pair_counts[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & on[:, 1:]).sum()
     for step in range(1, steps + 1):
         emit = np.zeros((len(pages), longest, 2))
-        emit[:, :, 1] = x @ w
+        emit[on, 1] = np.add.reduceat(w[active], first)
         ahead = np.zeros_like(emit)
         ahead[:, 0] = emit[:, 0]
         for t in range(1, longest):
@@ -202,7 +295,7 @@ def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 300, deca
         ends = on.sum(axis=1) - 1
         total = np.logaddexp.reduce(ahead[np.arange(len(pages)), ends], axis=1)
         article = np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]) * on
-        gw = ((y * on - article)[:, :, None] * x).sum(axis=(0, 1)) / len(pages) - decay * w
+        gw = np.bincount(active, np.repeat((y - article)[on], sizes), len(FEATURES)) / len(pages) - decay * w
         both = ahead[:, :-1, :, None] + moves + (emit[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]
         gm = (pair_counts - (np.exp(both) * on[:, 1:, None, None]).sum(axis=(0, 1))) / len(pages) - decay * moves
         for k, (value, grad) in enumerate(((w, gw), (moves, gm))):
@@ -215,7 +308,7 @@ def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 300, deca
 ARTICLE, OTHER = "\ue000", "\ue001"
 
 
-def labelled_pages(count: int = 700, seed: int = 7) -> list[tuple[list[list[int]], list[int]]]:
+def labelled_pages(count: int = 1000, seed: int = 7) -> list[tuple[list[list[int]], list[int]]]:
     """Pages drawn by rule; each text begins with a mark of its label, which is taken off again."""
     rng = random.Random(seed)
     out = []
@@ -282,18 +375,24 @@ def _draw_page(rng: random.Random) -> str:
             return wrap("form", rng.choice([[], ["newsletter"], ["search"], ["login"], ["subscribe"], ["signup"], ["form"]]), inner)
         if kind == "comments":
             name = rng.choice(["comments", "comment", "replies", "reply", "discussion", "respond"])
-            return wrap(rng.choice(["section", "div", "ol", "article"]), [name], "".join(piece(OTHER) for _ in range(rng.randint(1, 5))))
+            each = rng.choice([("", []), ("", []), ("article", []), ("article", [rng.choice(["comment", "reply"])]), ("div", ["comment"])])
+            said = [piece(OTHER) if not each[0] else wrap(*each, piece(OTHER)) for _ in range(rng.randint(1, 5))]
+            return wrap(rng.choice(["section", "div", "ol", "article"]), [name], "".join(said))
         return wrap(rng.choice(["div", "p"]), [rng.choice(["share", "social", "tags"])], links(3) if rng.random() < 0.5 else text)
 
     inside = "".join(piece(ARTICLE) for _ in range(rng.choice([0, 1, 2, 4, 8, 14])))
     if rng.random() < 0.75:
         inside = f"<h1>{ARTICLE}{words(rng.randint(2, 10))}</h1>" + inside
     for kind in ("ad", "form", "share", "side", "notice", "comments"):
-        if rng.random() < 0.12:
+        if rng.random() < 0.2:
             inside += other(kind) + (piece(ARTICLE) if kind != "comments" else "")
-    if rng.random() < 0.1:
-        inside = f"<header><h1>{ARTICLE}{words(6)}</h1></header>{inside}"
-    shape = rng.choice(["article", "article", "article", "main", "named", "named", "both", "bare"])
+    headed = rng.random() < 0.25
+    shape = rng.choice(["article", "article", "main", "both"]) if headed else rng.choice(["article", "article", "article", "main", "named", "named", "both", "bare"])
+    if headed:
+        under = piece(ARTICLE) if rng.random() < 0.4 else ""
+        inside = f"<header{attr(['entry', 'header']) if rng.random() < 0.4 else ''}><h1>{ARTICLE}{words(rng.randint(1, 8))}</h1>{under}</header>{inside}"
+    if shape in ("article", "both") and rng.random() < 0.15:
+        inside += f"<footer>{OTHER}{words(size())}</footer>"
     good = [rng.choice(GOOD_NAMES)]
     if shape == "article":
         inside = wrap("article", good if rng.random() < 0.4 else [], inside)
@@ -305,7 +404,14 @@ def _draw_page(rng: random.Random) -> str:
         inside = wrap("main", [], wrap("article", [], inside))
     before = "".join(other(k) for k in ("header", "nav", "notice", "ad") if rng.random() < 0.5)
     after = "".join(other(k) for k in ("share", "comments", "side", "form", "nav", "ad", "footer") if rng.random() < 0.4)
-    return f"<html><head><title>x</title></head><body>{before}{inside}{after}</body></html>"
+    # classes of site themes: on the body, and on a container around an article that its own tag marks
+    theme = " ".join(rng.choices([f"{n}-{w}" for n in ("sidebar", "comments", "header", "nav") for w in ("open", "left", "fixed", "on")], k=rng.randint(1, 3)))
+    if shape not in ("bare", "named") and rng.random() < 0.4:
+        inside = wrap("div", [rng.choice(BAD_NAMES)], inside) if rng.random() < 0.2 else wrap("div", [rng.choice(GOOD_NAMES)], inside)
+    page = f"{before}{inside}{after}"
+    if rng.random() < 0.3:
+        page = f'<div class="{theme}">{page}</div>'
+    return f'<html><head><title>x</title></head><body class="{theme}">{page}</body></html>'
 
 
 @lru_cache(maxsize=1)

@@ -61,3 +61,51 @@ def test_odd_pages(spark):
     assert texts[1] == [want, want] and texts[2] == texts[None] == texts[4] == [""]
     assert texts[5] == [("word " * 200_000).strip()] and len(texts[6]) == 1
     assert h.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def article(page):
+    blocks = h.blocks_of(page)
+    return [b.text for b, on in zip(blocks, h.default_model().labels(h.page_features(blocks))) if on]
+
+
+BODY = "<nav><a href=/>Home</a> <a href=/b>Bridges</a></nav>{}<footer>&copy; 2020 Somebody</footer>"
+TEXTS = ["The bridge was built over the river in a long and dry summer.", "It carries the road to the old town, and people like it."]
+PARAS = "".join(f"<p>{t}</p>" for t in TEXTS)
+
+
+def test_classes_of_site_themes_do_not_outweigh_the_article():
+    for names in ("has-sidebar header-fixed", "page comments-open social", "sidebar nav footer"):
+        assert article(f'<html><body class="{names}">' + BODY.format(f"<article>{PARAS}</article>") + "</body></html>") == TEXTS
+    assert article('<div class="site has-sidebar">' + BODY.format(f"<main>{PARAS}</main>") + "</div>") == TEXTS
+
+
+def test_title_in_a_header_of_the_article_stays_and_that_of_the_site_goes():
+    page = "<body><header><h1>The Site</h1></header>" + BODY.format(f"<article><header><h1>Bridge</h1></header>{PARAS}</article>")
+    assert article(page) == ["Bridge", *TEXTS]
+
+
+def test_comments_in_articles_of_their_own_go():
+    said = "<section id=comments><article><p>I think that this is a fine bridge and like it.</p></article></section>"
+    assert article(BODY.format(f"<article>{PARAS}</article>{said}")) == TEXTS
+
+
+def test_stray_quotes_do_not_swallow_text():
+    page = "<article><div data-x=it's>First para of the text.</div><p>Second para don't miss.</p></article>"
+    assert [b.text for b in h.blocks_of(page)] == ["First para of the text.", "Second para don't miss."]
+    assert [b.text for b in h.blocks_of('<p title="a > b">one</p><p title="never closed>two</p><p>three</p>')] == ["one", "two", "three"]
+    assert [b.text for b in h.blocks_of("<p>1 < 2 <p class='x'>a <b")] == ["1 < 2", "a <b"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    h.blocks_of('<a "' * 250_000)
+    h.blocks_of('<a "' * 250_000 + ">")
+    h.blocks_of('<a x="' * 170_000 + ">" + "<p>text")
+    h.blocks_of("<a x='>\"" * 100_000)
+    h.blocks_of("<script>" + "</script" * 120_000)
+    h.blocks_of("<!-" * 300_000 + ">" + "<!--" * 200_000)
+    assert len(h.page_features(h.blocks_of("<div class=content>a" * 100_000))) == 100_000
+    h.blocks_of("<span>" * 100_000 + "<li>x" * 50_000)
+    assert time.time() - began < 30
