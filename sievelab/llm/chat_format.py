@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turns of a conversation are put in order, each is given the mark that opens a new turn or, after a turn of the same
-role, that of a further part; they are collected as structs, sorted and concatenated, so adjacent turns of one role merge:
+The turns of a conversation are collected as structs and sorted; an array aggregation walks along them, gives each the mark that
+opens a new turn or, after a turn of the same role, that of a further part, and so merges adjacent turns of one role; the
+pieces are concatenated:
 
     ### User: first text</turn>
     ### Assistant: one text</part>the next text of the same role</turn>
@@ -19,13 +20,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sievelab.llm.common import let, pick
 
 TURN_END = "</turn>\n"
 PART_END = "</part>"
 HEAD = "### "
+#: Turns that one array aggregation merges; its arrays grow step by step, so long conversations go through several of them.
+CHUNK = 256
+SPANS = "array<struct<start:bigint,length:bigint>>"
 #: Roles with a capital in the template; others are written with "=" in front.
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 TEXT_ESCAPES = (("###", "\\h"), ("</", "\\l"))
@@ -71,27 +75,71 @@ def format_chats(
         role=F.coalesce(F.col(f"`{role_col}`"), F.lit("")),
         text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")),
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    opens = F.lag("role").over(order).isNull() | (F.lag("role").over(order) != F.col("role"))
-    # what stands before a text: the mark of a new turn, or of a further part of the same one
-    head = F.concat(F.lit(HEAD), _role_name(F.col("role")), F.lit(": "))
-    lead = F.when(~F.col("opens"), PART_END).when(F.col("seq") == 1, head).otherwise(F.concat(F.lit(TURN_END), head))
-    placed = (
-        rows.withColumns({"seq": F.row_number().over(order), "opens": opens, "shown": escape(F.col("text"))})
-        .withColumn("piece", F.concat(lead, F.col("shown")))
-        .withColumn("start", F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("shown"))
+    turn = F.struct("turn", "role", "text")
+    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    shown = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("shown")))
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("shown") - 1) / CHUNK).cast("int")),
+        lambda c: _merged(F.slice("shown", c * CHUNK + 1, CHUNK), F.get("shown", c * CHUNK - 1)["role"]),
     )
-    span = F.when(F.col("role") == "assistant", F.struct("start", F.length("shown").cast("long").alias("length")))
-    merged = placed.groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"),
-        F.count_if("opens").alias("n_merged"),
-        F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("pieces"),
-        F.sort_array(F.collect_list(span)).alias("loss_spans"),
+    # each chunk's spans begin at 0; the lengths of the chunks before it are added
+    spans = F.aggregate(
+        "chunks",
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPANS}>").alias("lists")),
+        lambda acc, c: F.struct(
+            (acc["at"] + c["at"]).alias("at"),
+            F.concat(acc["lists"], F.array(F.transform(c["spans"], lambda s: _span(s["start"] + acc["at"], s["length"])))).alias("lists"),
+        ),
+        lambda acc: F.flatten(acc["lists"]),
+    )
+    pieces = F.flatten(F.transform("chunks", lambda c: c["pieces"]))
+    return (
+        sorted_turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), shown.alias("shown"))
+        .select("conv_id", "n_turns", chunks.alias("chunks"))
+        .select(
+            "conv_id",
+            "n_turns",
+            F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + c["merged"]).alias("n_merged"),
+            F.concat(F.array_join(pieces, ""), F.lit(TURN_END)).alias("formatted"),
+            spans.alias("loss_spans"),
+        )
     )
-    joined = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
-    return merged.select(
-        "conv_id", "n_turns", "n_merged", F.concat(joined, F.lit(TURN_END)).alias("formatted"), "loss_spans"
+
+
+def _span(start: Column, length: Column) -> Column:
+    return F.struct(start.alias("start"), length.alias("length"))
+
+
+def _merged(turns: Column, before: Column) -> Column:
+    """Neighbours of one role merged: the pieces to concatenate, how many turns open, the length and the loss spans, from
+    (role, shown) in order and the role before the first one (null: none, so the conversation begins here)."""
+
+    def step(acc: Column, t: Column) -> Column:
+        same = acc["role"].eqNullSafe(t["role"])
+        head = F.concat(F.lit(HEAD), _role_name(t["role"]), F.lit(": "))
+        lead = F.when(same, F.lit(PART_END)).when(acc["role"].isNull(), head).otherwise(F.concat(F.lit(TURN_END), head))
+
+        def add(lead: Column) -> Column:
+            start = acc["at"] + F.length(lead)
+            size = F.length(t["shown"]).cast("long")
+            return F.struct(
+                t["role"].alias("role"),
+                (start + size).alias("at"),
+                (acc["merged"] + F.when(same, 0).otherwise(1)).alias("merged"),
+                F.concat(acc["pieces"], F.array(F.concat(lead, t["shown"]))).alias("pieces"),
+                F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(_span(start, size)))).otherwise(acc["spans"]).alias("spans"),
+            )
+
+        return let(lead, add)
+
+    zero = F.struct(
+        before.alias("role"),
+        F.lit(0).cast("long").alias("at"),
+        F.lit(0).cast("long").alias("merged"),
+        F.array().cast("array<string>").alias("pieces"),
+        F.array().cast(SPANS).alias("spans"),
     )
+    return F.aggregate(turns, zero, step)
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:

@@ -36,3 +36,22 @@ def test_escapes_are_reversible(spark):
     df = spark.createDataFrame(texts, "t string").withColumn("e", escape(F.col("t")))
     assert df.filter(unescape(F.col("e")) != F.col("t")).count() == 0
     assert df.filter(F.col("e").contains("###") | F.col("e").contains("</")).count() == 0
+
+
+def test_long_conversations_merge_across_chunks(spark):
+    from itertools import groupby
+
+    from sievelab.llm import chat_format as m
+
+    n = 3 * m.CHUNK + 7
+    rows = [(9, i, "user" if i // 5 % 3 else "assistant", f"t{i} ###" * (i % 4)) for i in range(n)]
+    rows += [(8, i, "user", "same") for i in range(m.CHUNK)] + [(7, i, "assistant", str(i)) for i in range(m.CHUNK + 1)]
+    rows += [(6, 0, "", "no role"), (6, 1, "", "again"), (6, 2, "user", "x")]
+    out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    counts = {r.conv_id: (r.n_turns, r.n_merged) for r in out.collect()}
+    back = {r.conv_id: r for r in parse_chats(out).collect()}
+    for conv in (6, 7, 8, 9):
+        own = [(r[2], r[3]) for r in rows if r[0] == conv]
+        assert [(t.role, t.text) for t in back[conv].turns] == own
+        assert back[conv].loss_texts == [t for r, t in own if r == "assistant"]
+        assert counts[conv] == (len(own), len(list(groupby(own, lambda t: t[0]))))
