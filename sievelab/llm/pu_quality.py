@@ -30,8 +30,7 @@ STEPS = 400
 #: Folds of the scores that set the prior and the margin, and the decay of the prior's models.
 FOLDS = 5
 PRIOR_DECAY = 1e-2
-#: Rows up to which the folds are dealt ``DEALS`` times, and their scores and weights averaged; beyond it once.
-FEW = 3_000
+#: Times that the folds are dealt; scores and weights are averaged.
 DEALS = 5
 #: Share of the positives that may be rejected.
 LOST = 0.01
@@ -91,29 +90,50 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
-def _fit(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, start: np.ndarray | None = None, strength: float = 1e-3
-) -> np.ndarray:
-    """Weights and, last, the bias. Without a prior: plain logistic regression of the two groups. With a ``start``: the
-    bounded sigmoid loss, on which a slip of the prior weighs little, from those weights on; else the log loss."""
-    p, u = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) for x in (positive, unlabelled))
-    w = np.zeros(p.shape[1], np.float32) if start is None else start
+def risk(scores: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, loss: str) -> np.ndarray:
+    """Non-negative risk of each column of ``scores`` (margins): prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
+    ``p`` and ``u`` weigh rows as positives and as unlabelled ones, columns adding up to 1. Losses: ``log`` and ``sigmoid``."""
+    right, wrong = _losses(scores, loss)
+    return prior * (p * right).sum(axis=0) + np.maximum(0, (u * wrong).sum(axis=0) - prior * (p * wrong).sum(axis=0))
+
+
+def _losses(scores: np.ndarray, loss: str) -> tuple[np.ndarray, np.ndarray]:
+    """Loss of each row if it is positive and if it is not."""
+    if loss == "sigmoid":
+        s = _sigmoid(scores)
+        return 1 - s, s
+    return np.logaddexp(0, -scores), np.logaddexp(0, scores)
+
+
+def slope(scores: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, loss: str) -> np.ndarray:
+    """Derivative by each score along which a step is taken: that of the risk, or, where the bracket is negative, away from it
+    by the bracket's own (the rule that keeps the estimator from overfitting)."""
+    s = _sigmoid(scores)
+    if loss == "sigmoid":
+        bracket = ((u - prior * p) * s).sum(axis=0)
+        up = s * (1 - s)
+        right, rest = -p * up, (u - prior * p) * up
+    else:
+        bracket = ((u - prior * p) * np.logaddexp(0, scores)).sum(axis=0)
+        right, rest = -p * (1 - s), (u - prior * p) * s
+    return np.where(bracket >= 0, rest + prior * right, -rest)
+
+
+def _fit(x: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float | None, start: np.ndarray | None = None, strength: float = 1e-3) -> np.ndarray:
+    """One model per column of the row weights ``p`` and ``u``, all fitted together: weights and, last, the bias. Without a prior: plain
+    logistic regression of the two groups. With a ``start``: the bounded sigmoid loss, on which a slip of the prior weighs
+    little, from those weights on; else the log loss."""
+    w = np.zeros((x.shape[1], p.shape[1]), np.float32) if start is None else start
     first, second = np.zeros_like(w), np.zeros_like(w)
-    decay = np.append(np.full(len(w) - 1, strength), 0)
+    decay = np.append(np.full(len(w) - 1, strength, np.float32), 0)[:, None].astype(np.float32) * (1 if start is None else 0.01)
     for step in range(1, STEPS + 1):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+        scores = x @ w
         if prior is None:
-            grad = -(p.T @ (1 - sp)) / len(p) + u.T @ su / len(u)
-        elif start is not None:
-            # sigmoid losses: R+ = mean 1 - s, R- = mean s
-            gp, gu = p.T @ (sp * (1 - sp)) / len(p), u.T @ (su * (1 - su)) / len(u)
-            grad = gu - prior * gp - prior * gp if su.mean() >= prior * sp.mean() else prior * gp - gu
+            s = _sigmoid(scores)
+            by_score = u * s - p * (1 - s)
         else:
-            # log losses: R+ = mean -log s, R- = mean -log(1 - s)
-            rest = -np.log1p(-np.minimum(su, 1 - 1e-6)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-6)).mean()
-            grad_rest = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-            grad = grad_rest - prior * (p.T @ (1 - sp)) / len(p) if rest >= 0 else -grad_rest
-        grad = grad + (decay if start is None else 0.01 * decay) * w
+            by_score = slope(scores, p, u, prior, "log" if start is None else "sigmoid")
+        grad = x.T @ by_score.astype(np.float32, copy=False) + decay * w
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w = w - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w
@@ -133,23 +153,28 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[float,
     return float(np.clip(point, 0.01, 0.995)), float(min(upper, 1.0))
 
 
-def _out_of_fold(x: np.ndarray, is_p: np.ndarray, is_u: np.ndarray, weights) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of all rows, each by ``weights(positive, unlabelled)`` of the other folds, and the mean of all weights; a
-    single positive is in every fold."""
+def _folds(is_p: np.ndarray, is_u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row and model, models being deals x folds: whether the row is left out of it, and its weights as a positive and as an
+    unlabelled row. A single positive is in every fold."""
     folds = min(FOLDS, int(is_p.sum()))
-    deals = DEALS if len(x) <= FEW else 1
     rng = np.random.default_rng(5)
-    out, total = np.zeros(len(x)), 0
-    for _ in range(deals):
-        fold = np.zeros(len(x), int)
+    left_out, p, u = [], [], []
+    for _ in range(DEALS):
+        fold = np.zeros(len(is_p), int)
         for group in (is_p, ~is_p):
             fold[group] = rng.permutation(int(group.sum())) % folds
         for k in range(folds):
-            rest = fold != k if folds > 1 else np.ones(len(x), bool)
-            w = weights(x[rest & is_p], x[rest & is_u] if (rest & is_u).any() else x[is_u])
-            out[fold == k] += (x[fold == k] @ w[:-1] + w[-1]) / deals
-            total = total + w.astype(float) / (deals * folds)
-    return out, total
+            rest = fold != k if folds > 1 else np.ones(len(is_p), bool)
+            own_p, own_u = rest & is_p, rest & is_u if (rest & is_u).any() else is_u
+            left_out.append(fold == k)
+            p.append(own_p / own_p.sum())
+            u.append(own_u / own_u.sum())
+    return np.array(left_out).T, np.array(p, np.float32).T, np.array(u, np.float32).T
+
+
+def _unseen(x: np.ndarray, w: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+    """Scores of all rows, each the mean of those by the models that it is left out of."""
+    return ((x @ w) * left_out).sum(axis=1, dtype=float) / left_out.sum(axis=1)
 
 
 def learn_from(values: np.ndarray, is_p: np.ndarray, is_u: np.ndarray) -> Model:
@@ -159,16 +184,14 @@ def learn_from(values: np.ndarray, is_p: np.ndarray, is_u: np.ndarray) -> Model:
     for i in range(len(FEATURES)):
         cuts = np.unique(np.concatenate([np.quantile(mix[:, i], np.linspace(0.02, 0.98, BINS - 2)), np.quantile(values[is_u, i], [0.9, 0.99])]))
         edges.append(cuts[cuts < mix[:, i].max()])
-    x = _one_hot(values, edges)
-    seen, _ = _out_of_fold(x, is_p, is_u, lambda p, u: _fit(p, u, None, strength=PRIOR_DECAY))
+    x = np.hstack([_one_hot(values, edges), np.ones((len(values), 1))]).astype(np.float32)
+    left_out, p, u = _folds(is_p, is_u)
+    seen = _unseen(x, _fit(x, p, u, None, strength=PRIOR_DECAY), left_out)
     prior, _ = estimate_prior(seen[is_p], seen[is_u])
-
-    def weights(p: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return _fit(p, u, prior, _fit(p, u, prior))
-
-    unseen, w = _out_of_fold(x, is_p, is_u, weights)
+    each = _fit(x, p, u, prior, _fit(x, p, u, prior))
+    unseen, w = _unseen(x, each, left_out), each.mean(axis=1, dtype=float)
     # equal texts may score less by the mean model than in the folds; the last bit covers the rounding of sums
-    margin = min(np.quantile(x[is_p] @ w[:-1] + w[-1], LOST), np.quantile(unseen[is_p], LOST)) - 1e-3
+    margin = min(np.quantile(x[is_p] @ w, LOST), np.quantile(unseen[is_p], LOST)) - 1e-3
     sizes = np.cumsum([len(e) + 1 for e in edges])[:-1]
     return Model(edges, np.split(w[:-1], sizes), float(w[-1] - margin), prior)
 
@@ -178,18 +201,21 @@ def fit(docs: DataFrame, positives: DataFrame, learn: Column, id_col: str = "doc
 
     ``positives`` has the ids of trusted rows as ``doc_id``. None if there are no positives or no rows.
     """
-    rows = pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
-    order = F.xxhash64("doc_id", F.lit("pu"))
-    ids = rows.select("doc_id").filter(F.col("doc_id").isNotNull() & learn)
-    trusted = ids.join(positives.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    rows = pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col).withColumn("mark", F.xxhash64("text"))
+    order = F.xxhash64("doc_id", "mark", F.lit("pu"))
+    # an id may have many rows and a row many copies: distinct rows are drawn
+    marks = rows.filter(F.col("doc_id").isNotNull() & learn).groupBy("doc_id", "mark").agg(F.lit(1).alias("one")).drop("one")
+    trusted = marks.join(positives.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = (
-        trusted.sort(order, "doc_id").limit(sample).withColumn("trusted", F.lit(True))
-        .unionByName(ids.sort(order, "doc_id").limit(sample).distinct().withColumn("trusted", F.lit(False)))
+        trusted.sort(order, "doc_id", "mark").limit(sample).withColumn("trusted", F.lit(True))
+        .unionByName(marks.sort(order, "doc_id", "mark").limit(sample).withColumn("trusted", F.lit(False)))
     )
+    groups = chosen.groupBy("doc_id", "mark").agg(F.collect_set("trusted").alias("groups"))
     # at most two samples of rows
     found = (
-        _features(rows.join(F.broadcast(chosen.groupBy("doc_id").agg(F.collect_set("trusted").alias("groups"))), "doc_id"))
-        .select("doc_id", "groups", *[f"__{k}" for k in FEATURES])
+        _features(rows.join(F.broadcast(groups), ["doc_id", "mark"]))
+        .select("doc_id", "mark", "groups", *[f"__{k}" for k in FEATURES])
+        .dropDuplicates(["doc_id", "mark"])
         .toPandas()
         .sort_values(["doc_id", *[f"__{k}" for k in FEATURES]], kind="stable")
     )

@@ -57,3 +57,41 @@ def test_a_little_junk_that_passes_the_rules_is_rejected(spark):
     assert len(bad) >= 8 and len(good) > 270
     assert max(r.score for r in bad) < np.median([r.score for r in good]) and not any(r.predicted for r in bad)
     assert np.mean([r.predicted for r in good]) > 0.95
+
+
+def test_risk_and_slope_against_loops_and_differences():
+    rng = np.random.default_rng(6)
+    scores, prior = rng.normal(size=(9, 4)), 0.4
+    p, u = rng.random((9, 4)) * (np.arange(9) < 5)[:, None], rng.random((9, 4)) * (np.arange(9) > 2)[:, None]
+    # in the last two columns the positives look like the other class, so the bracket is below zero
+    scores[:5, 2:] += 6
+    scores[5:, 2:] -= 6
+    p, u = p / p.sum(axis=0), u / u.sum(axis=0)
+    losses = {"log": (lambda z: np.log(1 + np.exp(-z)), lambda z: np.log(1 + np.exp(z))), "sigmoid": (lambda z: 1 / (1 + np.exp(z)), lambda z: 1 / (1 + np.exp(-z)))}
+    for name, (right, wrong) in losses.items():
+        plus = [sum(p[i, j] * right(scores[i, j]) for i in range(9)) for j in range(4)]
+        rest = [sum((u[i, j] - prior * p[i, j]) * wrong(scores[i, j]) for i in range(9)) for j in range(4)]
+        assert np.allclose(m.risk(scores, p, u, prior, name), [prior * a + max(0, b) for a, b in zip(plus, rest)])
+        assert min(rest) < 0 < max(rest)
+        got = m.slope(scores, p, u, prior, name)
+        for i in range(9):
+            for j in range(4):
+                h = 1e-6
+                d_right = (right(scores[i, j] + h) - right(scores[i, j] - h)) / (2 * h)
+                d_wrong = (wrong(scores[i, j] + h) - wrong(scores[i, j] - h)) / (2 * h)
+                d_rest = (u[i, j] - prior * p[i, j]) * d_wrong
+                assert np.isclose(got[i, j], prior * p[i, j] * d_right + d_rest if rest[j] >= 0 else -d_rest, atol=1e-6)
+
+
+def test_the_sample_bounds_rows_whatever_the_ids(spark):
+    rows = [(1 if i % 2 else i, f"word{i} and the rest of it " * (1 + i % 7)) for i in range(400)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (2,), (4,)], "doc_id long")
+    sizes = []
+    real = m.learn_from
+    try:
+        m.learn_from = lambda v, p, u: sizes.append((len(v), int(p.sum()), int(u.sum())))
+        m.fit(docs, ids, F.lit(True), sample=50)
+    finally:
+        m.learn_from = real
+    assert sizes[0][1:] == (50, 50) and sizes[0][0] <= 100
