@@ -31,7 +31,7 @@ STEPS = 400
 FOLDS = 5
 PRIOR_DECAY = 1e-2
 #: Times that the folds are dealt; scores and weights are averaged.
-DEALS = 5
+DEALS = 3
 #: Share of the positives that may be rejected.
 LOST = 0.01
 #: From this upper bound of the prior on, the unlabelled rows may all be positive.
