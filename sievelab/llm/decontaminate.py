@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievelab.llm.common import pick, spread
+from sievelab.llm.common import pick, spread, trimmed
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -221,7 +221,7 @@ def find_contamination(
             )
 
     rows = spread(pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col), "doc_id")
-    return rows.mapInArrow(run, RESULT)
+    return rows.mapInArrow(trimmed(run), RESULT)
 
 
 def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -272,7 +272,7 @@ def remove_spans(
                 batch = batch.filter(pa.array(keep))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _without(raw: bytes, folded: bytes, words: list[bytes], spans: list[tuple[int, int]]) -> bytes:
