@@ -20,6 +20,12 @@ def q_read_messages(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_messages(spark, path)
 
 
+def q_read_messages_split(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "messages")
+    writers.write_messages(views.messages(spark, sf).coalesce(1), path)
+    return readers.read_messages_split(spark, path)
+
+
 def q_read_encoding_fallback(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "encodings")
     rows = views.messages(spark, sf)
@@ -143,6 +149,7 @@ def q_sample_prefix(spark, sf):
 
 QUERIES = {
     "read_messages": q_read_messages,
+    "read_messages_split": q_read_messages_split,
     "read_encoding_fallback": q_read_encoding_fallback,
     "read_noise_pool": q_read_noise_pool,
     "read_conflict_pairs": q_read_conflict_pairs,
@@ -170,6 +177,7 @@ _NAMED = "SELECT sentiment, message, tweetid FROM messages"
 
 ORACLE = {
     "read_messages": sql("messages", _NAMED),
+    "read_messages_split": sql("messages", _NAMED),
     "read_encoding_fallback": sql("messages", _NAMED),
     "read_noise_pool": sql("translated_raw", """
         SELECT 'irrelevant' AS source, text AS message, NULL::INT AS sentiment, NULL::BIGINT AS tweetid

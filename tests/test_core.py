@@ -1,5 +1,6 @@
 """Ranks, joins, rounding, splits and noise on small inputs."""
 
+import csv
 import random
 
 import pytest
@@ -185,6 +186,47 @@ def test_csv_keeps_text_as_it_is(spark, tmp_path):
     assert got == dict(enumerate(texts))
 
 
+def test_one_file_in_many_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    bits = ["a", "two\nlines", '"', ", ", "\n\n", "\r\n", " ", "é", "\n\"\n", "x" * 90, '"\n"', "\n" * 70]
+    written = []
+    for n in range(3):
+        rows = [(i % 4 - 1, "".join(rng.choice(bits) for _ in range(rng.randrange(7))) or None, i) for i in range(n * 1000, n * 1000 + 200)]
+        with open(tmp_path / f"{n}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator="\r\n" if n == 1 else "\n")
+            w.writerows([["sentiment", "message", "tweetid"] if n < 2 else ["sentiment", "mess\nage", "tweetid"], *rows])
+        written += rows
+    key = lambda r: r["tweetid"]
+    same = [str(tmp_path / f"{n}.csv") for n in (0, 2)]
+    assert sorted(readers.read_messages(spark, same).collect(), key=key) == [r for r in written if r[2] // 1000 != 1]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (150, 4096):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            assert size > 150 or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 100
+            assert sorted(readers.read_messages_split(spark, str(tmp_path)).collect(), key=key) == written
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "e.csv").write_text("sentiment,message,tweetid\n")
+    assert readers.read_messages_split(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_ledger_batches_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    one, two = (spark.createDataFrame([(i, 0.5)], "experiment int, micro_f1 double") for i in (1, 2))
+    assert writers.write_ledger(one, path, "a/1 b")
+    commit = writers._commit
+    monkeypatch.setattr(writers, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("broke off")))
+    with pytest.raises(RuntimeError):
+        writers.write_ledger(two, path, "2")
+    assert [r["experiment"] for r in writers.read_ledger(spark, path).collect()] == [1]
+    monkeypatch.setattr(writers, "_commit", commit)
+    assert writers.write_ledger(two, path, "2")
+    assert not writers.write_ledger(two, path, "2") and not writers.write_ledger(one, path, "a/1 b")
+    assert sorted((r["experiment"], r["batch"]) for r in writers.read_ledger(spark, path).collect()) == [(1, "a/1 b"), (2, "2")]
+
+
 def test_encodings(spark, tmp_path):
     head = "sentiment,message,tweetid\n"
     for name, encoding in (("a", "utf-8"), ("b", "gb18030"), ("c", "latin-1"), ("d", "utf-16")):
@@ -205,6 +247,18 @@ def test_noise_pool_takes_plain_csv_names_only(spark, tmp_path):
     assert [(r["source"], r["message"], r["sentiment"], r["tweetid"]) for r in got] == [("irrelevant", "hello", None, None)]
 
 
+def test_noise_pool_reads_each_file_by_its_header(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    for name, text in {
+        "a": "tweetid,sentiment,message\n1,2,one\n", "b": "message,sentiment\ntwo,3\n", "c": "x,message,tweetid\nq,\"thr\nee\",4\n",
+        "d d": "sentiment,message,tweetid\n0,four,5\n", "e": "\nmessage\nfive\n",
+    }.items():
+        (tmp_path / "s" / f"{name}.csv").write_text(text)
+    (tmp_path / "t").mkdir()
+    got = {tuple(r) for r in readers.read_noise_pool(spark, str(tmp_path), ["s", "t"]).collect()}
+    assert got == {("s", "one", 2, 1), ("s", "two", 3, None), ("s", "thr\nee", None, 4), ("s", "four", 0, 5), ("s", "five", None, None)}
+
+
 def test_same_draws_everywhere(spark):
     rows = list(range(200))
     random.Random(3).shuffle(rows)
