@@ -94,10 +94,14 @@ def ledger(spark, sf) -> DataFrame:
     return lg.ledger_rows(scores, cells.withColumn("noise_sources_distribution", F.lit("-")), sizes=4)
 
 
+def rounded_ledger(rows: DataFrame) -> DataFrame:
+    return _list(_round(rows, *SCORES))
+
+
 def q_ledger_append(spark, sf):
     rows = ledger(spark, sf)
     noisy = rows.filter(F.col("denoised") == "N")
-    return _list(_round(lg.ledger_append(noisy, rows.filter(F.col("denoised") == "Y")), *SCORES))
+    return rounded_ledger(lg.ledger_append(noisy, rows.filter(F.col("denoised") == "Y")))
 
 
 def q_report_summary(spark, sf):
@@ -135,10 +139,7 @@ def q_series_by_experiment_block(spark, sf):
 
 
 def q_best_epoch(spark, sf):
-    best = lg.best_epoch(views.history(spark, sf), patience=3)
-    return best.withColumn("lr_cuts", F.array_join(F.col("lr_cuts").cast("array<string>"), ",")).withColumn(
-        "final_lr", F.round("final_lr", 9)
-    )
+    return lg.best_epoch(views.history(spark, sf))
 
 
 QUERIES = {
@@ -196,7 +197,7 @@ def _summary(by: str = "", present: str = "support + predicted > 0", rounded: bo
 
 _TEN = "range(0, 10)"
 _ELEVEN = "range(0, 11)"
-_LEDGER = f"""
+LEDGER_SQL = f"""
     cells AS (SELECT p.*, d.lang, f.denoised,
                      CASE d.lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END AS position
               FROM predictions p JOIN documents d ON p.row_id = d.doc_id
@@ -249,16 +250,16 @@ ORACLE = {
         SELECT 'all vectors' AS data_size, s.* EXCLUDE (f1_of_classes),
                {", ".join(f"(SELECT round(f1, 3) FROM scores WHERE label = {i}) AS f1_of_class_{i}" for i in range(10))}
         FROM s"""),
-    "ledger_append": sql("predictions", f"WITH {_LEDGER} SELECT * FROM ledger"),
+    "ledger_append": sql("predictions", f"WITH {LEDGER_SQL} SELECT * FROM ledger"),
     "report_summary": sql("predictions", f"""
-        WITH {_LEDGER}
+        WITH {LEDGER_SQL}
         SELECT 'centroid-' || lang AS name, CASE denoised WHEN 'N' THEN 'train' ELSE 'validate' END AS data_type,
                train_size, 0::BIGINT AS test_size, micro_f1 AS accuracy, 0.0::DOUBLE AS loss, macro_f1, macro_precision,
                macro_recall, weighted_f1, 0.0::DOUBLE AS time_preprocess, 0.0::DOUBLE AS time_train,
                0.0::DOUBLE AS time_predict
         FROM summary JOIN info USING (lang, denoised)"""),
     "series": sql("predictions", f"""
-        WITH {_LEDGER} SELECT CASE denoised WHEN 'N' THEN 'Noisy Data' ELSE 'Denoised Data' END AS line,
+        WITH {LEDGER_SQL} SELECT CASE denoised WHEN 'N' THEN 'Noisy Data' ELSE 'Denoised Data' END AS line,
                origin + noise AS x, macro_f1 AS y FROM ledger"""),
     "series_by_experiment_block": sql("predictions", f"""
         WITH cells AS (SELECT *, (row_id % 27 + 1)::INT AS experiment FROM predictions),
@@ -270,24 +271,6 @@ ORACLE = {
                (SELECT count(*) FROM cells c WHERE c.experiment = s.experiment) AS x, macro_f1 AS y
         FROM summary s"""),
     "best_epoch": sql("history", """
-        WITH h AS (SELECT run, epoch, val_accuracy AS acc, val_loss AS loss,
-                          row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM history),
-        fold AS (
-            SELECT run, 1::BIGINT AS i, acc AS best, epoch AS best_epoch, 0 AS wait, NULL::INT AS stop, loss AS low,
-                   0 AS lr_wait, 0.0001::DOUBLE AS lr, '' AS cuts FROM h WHERE i = 1
-            UNION ALL
-            SELECT run, i, best, best_epoch, wait, CASE WHEN wait >= 3 THEN epoch END, low,
-                   CASE WHEN cut THEN 0 ELSE lr_wait END,
-                   CASE WHEN cut THEN greatest(lr * 0.1::DOUBLE, 0.000001::DOUBLE) ELSE lr END,
-                   CASE WHEN cut THEN cuts || CASE WHEN cuts = '' THEN '' ELSE ',' END || epoch ELSE cuts END
-            FROM (SELECT h.run, h.i, h.epoch, f.lr, f.cuts,
-                         CASE WHEN h.acc > f.best THEN h.acc ELSE f.best END AS best,
-                         CASE WHEN h.acc > f.best THEN h.epoch ELSE f.best_epoch END AS best_epoch,
-                         CASE WHEN h.acc > f.best THEN 0 ELSE f.wait + 1 END AS wait,
-                         CASE WHEN h.loss < f.low - 0.0001::DOUBLE THEN h.loss ELSE f.low END AS low,
-                         CASE WHEN h.loss < f.low - 0.0001::DOUBLE THEN 0 ELSE f.lr_wait + 1 END AS lr_wait,
-                         f.lr > 0.000001::DOUBLE AND h.loss >= f.low - 0.0001::DOUBLE AS cut
-                  FROM fold f JOIN h ON h.run = f.run AND h.i = f.i + 1 WHERE f.stop IS NULL))
-        SELECT run, best_epoch, best AS best_val_accuracy, stop AS stop_epoch, cuts AS lr_cuts, round(lr, 9) AS final_lr
-        FROM fold QUALIFY row_number() OVER (PARTITION BY run ORDER BY i DESC) = 1""").replace("WITH ", "WITH RECURSIVE ", 1),
+        SELECT run, epoch AS best_epoch, val_accuracy AS best_val_accuracy FROM history
+        QUALIFY row_number() OVER (PARTITION BY run ORDER BY val_accuracy DESC NULLS LAST, epoch) = 1"""),
 }

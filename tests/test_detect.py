@@ -233,29 +233,15 @@ def test_metrics_toy(spark):
     assert matrix == {0: [1, 1, 0, 0], 1: [0, 2, 0, 0], 2: [1, 0, 1, 0], 3: [0, 0, 0, 0]}
 
 
-def replay(points, patience, lr, min_delta=1e-4, min_lr=1e-6):
-    best, best_epoch, wait, low, cuts = -np.inf, None, 0, np.inf, []
-    for epoch, acc, loss in points:
-        wait = 0 if acc > best else wait + 1
-        if acc > best:
-            best, best_epoch = acc, epoch
-        if loss < low - min_delta:
-            low = loss
-        elif lr > min_lr:
-            cuts.append(epoch)
-            lr = max(lr * 0.1, min_lr)
-        if wait >= patience:
-            return best_epoch, epoch, cuts
-    return best_epoch, None, cuts
-
-
-def test_best_epoch_replays_callbacks(spark):
+def test_best_epoch_takes_the_first_of_the_best(spark):
     rng = np.random.default_rng(6)
-    runs = {f"r{i}": [(e, float(rng.random()), float(rng.random())) for e in range(12)] for i in range(8)}
-    rows = [(r, e, a, x) for r, points in runs.items() for e, a, x in points]
-    df = spark.createDataFrame(rows, "run string, epoch int, val_accuracy double, val_loss double")
-    for r in ledger.best_epoch(df, patience=3).collect():
-        assert (r["best_epoch"], r["stop_epoch"], r["lr_cuts"]) == replay(runs[r["run"]], 3, 1e-4)
+    rows = [(f"r{i}", e, float(rng.integers(5)) / 5) for i in range(8) for e in range(12)] + [("n", 0, None), ("n", 1, 0.1), ("n", 2, None)]
+    df = spark.createDataFrame(rows, "run string, epoch int, val_accuracy double")
+    want = {}
+    for run, epoch, acc in rows:
+        if acc is not None and acc > want.get(run, (None, -1.0))[1]:
+            want[run] = (epoch, acc)
+    assert {r["run"]: (r["best_epoch"], r["best_val_accuracy"]) for r in ledger.best_epoch(df).collect()} == want
 
 
 def test_block_lines_cut_toward_zero(spark):
