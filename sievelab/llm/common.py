@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,6 +60,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark removes shuffles and checkpoints once nothing refers to them, which a roomy heap puts off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def give_back() -> None:
     """Returns memory that is free inside this process to the system."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sievelab.llm.common import drop_path, pick, spread, trimmed, written
+from sievelab.llm.common import drop_path, pick, release, spread, trimmed, written
 from sievelab.llm.wordhash import U, mix, word_hashes
 from sievelab.session import cut_lineage
 
@@ -316,25 +316,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = classes.filter("n > 1").select("print", F.col("node").alias("v"))
     same = real.select("print", F.col("doc_id").alias("u")).join(copies, "print").select("u", "v").filter("u <> v")
 
-    band = F.struct(F.col("b").alias("band"), F.xxhash64("b", F.substring("sketch", F.col("b") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"))
-    banded = classes.select(
-        "node", "print", "size", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b")
-    ).select("node", "print", "size", band.alias("at")).select("node", "print", "size", "at.*")
-    shared = banded.groupBy("key").agg(F.min(F.struct("node", "print")).alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    buckets, buckets_path = written(banded.join(shared.select("key", "centre"), "key"), "buckets", with_path=True)
+    # a class is known by its least document and, only where that has several texts, by its print: band rows stay small
+    repeated = cut_lineage(classes.groupBy("node").count().filter("count > 1").select("node", F.lit(True).alias("twin")))
+    few = repeated.count() <= BROADCAST_IDS
+    marked = classes.join(F.broadcast(repeated) if few else repeated, "node", "left").withColumn("mark", F.when(F.col("twin"), F.col("print")).otherwise(F.lit(b"")))
+    hashed = F.xxhash64("b", F.substring("sketch", F.col("b") * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+    banded = marked.select("node", "mark", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b")).select(
+        "node", "mark", hashed.bitwiseAND(F.lit(-64)).bitwiseOR(F.col("b").cast("long")).alias("key")
+    )
+    shared = banded.groupBy("key").agg(F.min(F.struct("node", "mark")).alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    met = banded.join(shared.select("key", "centre"), "key").join(marked.select("node", "mark", "print", "size"), ["node", "mark"])
+    buckets, buckets_path = written(met.withColumn("band", F.col("key").bitwiseAND(F.lit(63)).cast("int")), "buckets", with_path=True)
 
     first = (
-        buckets.filter("print <> centre.print")
+        buckets.filter("node <> centre.node or mark <> centre.mark")
         .groupBy("node", "print")
         .agg(F.min("centre").alias("c"))
-        .select(F.col("node").alias("u"), F.col("print").alias("u_print"), F.col("c.node").alias("v"), F.col("c.print").alias("v_print"))
+        .select(F.col("node").alias("u"), F.col("print").alias("u_print"), F.col("c.node").alias("v"), F.col("c.mark").alias("v_mark"))
+        .join(marked.select(F.col("node").alias("v"), F.col("mark").alias("v_mark"), F.col("print").alias("v_print")), ["v", "v_mark"])
+        .select("u", "u_print", "v", "v_print")
     )
     links = confirmed(cut_lineage(first), texts).unionByName(same)
     found = cut_lineage(components(links))
 
-    def groups(found: DataFrame) -> DataFrame:
+    def groups(held: DataFrame, found: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components, by bounded groups of each bucket."""
-        placed = buckets.drop("centre").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = held.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
         left = cut_lineage(placed.join(mixed, "key").select("key", "band", "component", "node", "print", "size"))
         load = F.greatest(F.count("*") / LANE, F.sum("size") / LANE_SHINGLES)
@@ -352,32 +359,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ordered = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
         return ordered.mapInArrow(trimmed(lambda batches: _by_group(batches, work)), schema)
 
-    def sketched_groups(found: DataFrame) -> DataFrame:
-        return groups(found).join(classes.select("print", "sketch"), "print")
+    def sketched_groups(held: DataFrame, found: DataFrame) -> DataFrame:
+        return groups(held, found).join(drawn, "print")
 
     def best_pairs(found: DataFrame) -> DataFrame:
-        return cut_lineage(grouped(sketched_groups(found), _best_pairs, "u long, u_print binary, v long, v_print binary").distinct())
+        return cut_lineage(grouped(sketched_groups(held, found), _best_pairs, "u long, u_print binary, v long, v_print binary").distinct())
 
     def all_links(found: DataFrame) -> DataFrame:
         """Links among all that is left; pairs are compared inside tasks, a text moves once per group, not per pair."""
-        members = cut_lineage(grouped(sketched_groups(found), _with_partners, MEMBER))
+        members = cut_lineage(grouped(sketched_groups(held, found), _with_partners, MEMBER))
         return cut_lineage(grouped(members.join(_texts_of(members, texts), "node"), _linked, "u long, v long"))
 
     def merged(links: DataFrame, found: DataFrame) -> DataFrame:
         stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
         return cut_lineage(components(links.unionByName(stars)))
 
+    nodes = cut_lineage(buckets.select("node").distinct())
+    few = nodes.count() <= BROADCAST_IDS
+    drawn, drawn_path = written(
+        classes.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("print", "sketch"), "bucket-sketches", with_path=True
+    )
+    # components only grow together, so a member without a partner to compare with in its bucket never gets one
+    members = grouped(sketched_groups(buckets.drop("centre", "mark"), found), _with_partners, MEMBER)
+    held = cut_lineage(members.select("key", "band", "node", "print", "size").distinct())
+    for path in (classes_path, buckets_path):
+        drop_path(docs.sparkSession, path)
+    release(docs.sparkSession)
+
     # each member's best partner first, as long as that joins components; what is left is then compared in full
+    tested = None
     while not (pairs := best_pairs(found)).isEmpty():
-        links = cut_lineage(confirmed(pairs, texts))
-        last = links.isEmpty()
+        fresh = pairs
+        if tested is not None:
+            few = tested.count() <= BROADCAST_IDS // 4
+            fresh = cut_lineage(pairs.join(F.broadcast(tested) if few else tested, pairs.columns, "left_anti"))
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        last = fresh.isEmpty()
+        if not last:
+            links = cut_lineage(confirmed(fresh, texts))
+            last = links.isEmpty()
         links = all_links(found) if last else links
         if not links.isEmpty():
             found = merged(links, found)
         if last:
             break
-    for path in (classes_path, buckets_path):
-        drop_path(docs.sparkSession, path)
+        release(docs.sparkSession)
+    drop_path(docs.sparkSession, drawn_path)
     out = sketched.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -74,3 +74,23 @@ def test_sketches_estimate_similarity_and_fill():
     a, b = (shingles(t) for t in texts[:2])
     assert abs((rows[0] == rows[1]).mean() - len(a & b) / len(a | b)) < 0.12
     assert rng
+
+
+def test_pairs_are_compared_once_and_members_without_partners_go(spark, monkeypatch):
+    """Rounds after the first compare new pairs only, so texts do not move again for pairs that have failed."""
+    rng = random.Random(21)
+    base = [f"v{i}" for i in range(300)]
+    rows = []
+    for i in range(70):  # near the threshold on both sides, with different first centres
+        at = rng.randint(0, 40)
+        rows.append((i, " ".join(base[at : at + 220] + [f"n{i}x{j}" for j in range(rng.randint(0, 24))])))
+    seen, confirmed = [], d.confirmed
+
+    def watched(pairs, texts):
+        seen.append({tuple(r) for r in pairs.select("u", "v").collect()})
+        return confirmed(pairs, texts)
+
+    monkeypatch.setattr(d, "confirmed", watched)
+    out = d.near_duplicates(spark.createDataFrame([(*r, "c", 0) for r in rows], SCHEMA)).collect()
+    assert sorted(tuple(r) for r in out) == brute(rows)
+    assert len(seen) > 1 and all(not (a & b) for k, a in enumerate(seen[1:]) for b in seen[1 + k + 1 :])
