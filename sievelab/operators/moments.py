@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sievelab.operators.ranking import ordered_rank
@@ -16,25 +17,33 @@ FAN_IN = 32
 
 
 def group_moments(
-    df: DataFrame, weigh: Callable[[pd.DataFrame], dict], width: int
+    df: DataFrame, weigh: Callable[[pd.DataFrame], dict] | Callable[[pa.RecordBatch], dict], width: int, arrow: bool = False
 ) -> dict[tuple[int, int], tuple[float, np.ndarray, np.ndarray]]:
     """{(group, start): (n, sum, cross products)} over the rows that ``weigh`` picks.
 
-    ``weigh`` takes a batch and gives {(group, start): matrix of the picked rows}. Each task adds up its
+    ``weigh`` takes a batch, a frame or (``arrow``) a record batch, and gives {(group, start): matrix of the picked rows}. Each task adds up its
     rows, at most ``FAN_IN`` of these sums are merged at a time however many tasks there were, and groups x starts matrices of width x width
     reach the driver.
     """
     size = 1 + width + width * width
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator) -> Iterator[list[tuple[int, int, list[float]]]]:
         held: dict = {}
         for batch in batches:
             for key, x in weigh(batch).items():
                 part = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]) if len(x) else np.zeros(size)
                 held[key] = held.get(key, 0.0) + part
         if held:
-            rows = [(g, s, v.tolist()) for (g, s), v in held.items()]
-            yield pd.DataFrame(rows, columns=["grp", "start", "v"])
+            yield [(g, s, v.tolist()) for (g, s), v in held.items()]
+
+    def of_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (pd.DataFrame(rows, columns=["grp", "start", "v"]) for rows in partial(batches))
+
+    fields = pa.schema([("grp", pa.int32()), ("start", pa.int32()), ("v", pa.list_(pa.float64()))])
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in partial(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
     schema = "grp int, start int, v array<double>"
 
@@ -45,7 +54,8 @@ def group_moments(
             total += v
         return first.assign(v=[total.tolist()])
 
-    sums = cut_lineage(df.mapInPandas(partial, schema).withColumn("lane", F.spark_partition_id()))
+    partials = df.mapInArrow(of_batches, schema) if arrow else df.mapInPandas(of_frames, schema)
+    sums = cut_lineage(partials.withColumn("lane", F.spark_partition_id()))
     lanes = 1 + (sums.agg(F.max("lane")).first()[0] or 0)
     while lanes > FAN_IN:
         lanes = math.ceil(lanes / FAN_IN)
