@@ -11,6 +11,7 @@ from sievelab.operators.summaries import max_token_length
 from sievelab.plans import views
 from sievelab.plans.corpus import Corpus
 from sievelab.plans.oracle import sql
+from sievelab.session import rewritten
 
 # Parameter of the count queries: a short stop list over the four languages of the test texts.
 STOP_WORDS = [
@@ -45,8 +46,12 @@ def q_tokenize_stoplist(spark, sf):
     return tokens.select("row_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n"))
 
 
+def _topic_tokens(spark, sf):
+    return rewritten(ft.topic_tokens(views.texts(spark, sf)).select("row_id", "tokens"), "tokens")
+
+
 def q_drop_rare_tokens(spark, sf):
-    tokens = ft.drop_rare_tokens(ft.topic_tokens(views.texts(spark, sf)), 2)
+    tokens = ft.drop_rare_tokens(_topic_tokens(spark, sf), 2)
     return tokens.select("row_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n"))
 
 
@@ -55,7 +60,7 @@ def q_build_dictionary(spark, sf):
 
 
 def q_doc2bow(spark, sf):
-    tokens = ft.topic_tokens(views.texts(spark, sf))
+    tokens = _topic_tokens(spark, sf)
     bags = ft.doc2bow(tokens, ft.build_dictionary(tokens))
     pair = F.transform("bow", lambda s: F.concat_ws(":", s["term_id"].cast("string"), s["n"].cast("string")))
     return bags.select("row_id", F.array_join(pair, " ").alias("bow"))
@@ -90,7 +95,8 @@ def q_one_hot(spark, sf):
 
 def q_encode_fixed_length(spark, sf):
     corpus = Corpus(views.messages(spark, sf))
-    rows = corpus.regions.select("row_id", "region", tx.tokenize_words(tx.normalize_text("message")).alias("tokens"))
+    tokens = tx.tokenize_words(tx.normalize_text("message")).alias("tokens")
+    rows = rewritten(corpus.regions.select("row_id", "region", tokens), "tokens")
     dictionary = ft.build_dictionary(rows.filter(F.col("region") == "train"))
     encoded = ft.encode_fixed_length(rows, dictionary, WIDTH)
     return encoded.select(
