@@ -12,7 +12,8 @@
 * A word's form is its most frequent near word if that is ``ratio`` times as frequent; roots follow by pointer
   doubling, each round written to the shared folder. Chains are short, for counts grow by ``ratio`` at each step.
 
-The table of bigram frequencies has at most (letters of the alphabet)**2 rows and travels with the tasks.
+The table of bigram frequencies has at most (letters of the alphabet)**2 rows and travels with the tasks. All joins are by
+sorted shuffles: Spark takes a side with many keys a word, or words stored by dictionary, for smaller than it is and would broadcast it.
 
 Defined results: null texts have no words; null ids count as empty in the key of ``changed``; repeated rows count each;
 an empty table gives an empty table; ties go to the word that is first in code-point order; extra columns are left out.
@@ -121,9 +122,8 @@ def _keys(place: Column, longer: int) -> Column:
     return F.array(*keys)
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """a, b, a_n, b_n: all pairs of words (a before b) that differ by exactly one edit, each once."""
-    chosen, path = written(_chosen(words), "variant-words", with_path=True)
+def _found(chosen: DataFrame) -> DataFrame:
+    """x, y and their counts: words of one edit from each other, as often as they have keys in common."""
     every = lambda places, longer: F.flatten(F.transform(places, lambda p: _keys(p, longer)))
     asks = chosen.select(F.col("word").alias("x"), F.col("n").alias("x_n"), F.col("last").alias("x_last"), F.explode(every("pivots", 0)).alias("key"))
     index = chosen.select(
@@ -131,7 +131,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(F.concat(*[every("prefix", d) for d in range(-EDITS, EDITS + 1)]))).alias("key"),
     )
     one_edit = (F.col("x_last") <= F.col("y_last")) & (F.levenshtein("x", "y", EDITS) == EDITS)
-    found = asks.join(index.withColumnRenamed("key", "y_key"), (F.col("key") == F.col("y_key")) & one_edit)
+    return asks.hint("merge").join(index.withColumnRenamed("key", "y_key"), (F.col("key") == F.col("y_key")) & one_edit)
+
+
+def near_pairs(words: DataFrame) -> DataFrame:
+    """a, b, a_n, b_n: all pairs of words (a before b) that differ by exactly one edit, each once."""
+    chosen, path = written(_chosen(words), "variant-words", with_path=True)
+    found = _found(chosen)
     first = F.col("x") < F.col("y")
     sided = [F.when(first, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("a", "x", "y"), ("b", "y", "x"), ("a_n", "x_n", "y_n"), ("b_n", "y_n", "x_n"))]
     pairs, _ = written(found.select(*sided).distinct(), "variant-pairs", with_path=True)
@@ -150,7 +156,7 @@ def group_variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     )
     strong = -F.col("top.less") >= ratio * F.col("n")
     forms, forms_path = written(
-        words.join(near, "word", "left").select(
+        words.hint("merge").join(near, "word", "left").select(
             "word", F.when(strong, F.col("top.word")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
             F.when(strong, -F.col("top.less")).alias("form_n"),
         ),
@@ -158,7 +164,7 @@ def group_variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     )
     drop_path(spark, words_path)
     roots, path = _roots(forms.filter("form IS NOT NULL").select("word", F.col("form").alias("root")))
-    return forms.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.hint("merge").join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(links: DataFrame) -> tuple[DataFrame, str]:
@@ -168,7 +174,7 @@ def _roots(links: DataFrame) -> tuple[DataFrame, str]:
     while True:
         onward = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
         moved, next_path = written(
-            links.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("on")),
+            links.hint("merge").join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("on")),
             "variant-roots", with_path=True,
         )
         drop_path(spark, path)

@@ -104,3 +104,20 @@ def test_query_on_a_given_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text")).collect()
     assert shown(spelling_variants(spark, sf)) == grouped(counted([(r.doc_id, r.text) for r in docs]))
+
+
+def test_no_side_of_a_join_is_broadcast(spark, monkeypatch):
+    texts = []
+    monkeypatch.setattr(v, "written", lambda df, name, with_path=False, real=v.written: (
+        texts.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name, with_path))[1])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        words = spark.createDataFrame([("garden", 50), ("gardon", 2), ("gardens", 9), ("window", 4)], "word string, n long")
+        out = v.group_variants(words)
+        texts.append(out._jdf.queryExecution().executedPlan().toString())
+        assert {r.word: r.root for r in out.collect()} == {"garden": "garden", "gardon": "garden", "gardens": "garden", "window": "window"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sum("SortMergeJoin" in t for t in texts) >= 4
+    assert not any("Broadcast" in t for t in texts)
